@@ -73,7 +73,7 @@ def utf8_spans(codec: str) -> re.Pattern[str]:
 ORDINARY = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĄąĆćĘęŁłŃńŚśŹźŻżŒœΆ-ώЁА-яё’‘“”„«»–—…©°§\s]+")
 #: What a decoded span may consist of to be believed.
 PLAUSIBLE = re.compile(
-    r"[\xa0-ſΆ-ώЁА-яёऀ-ॿก-๛‐-›€™←-↙♀-♯　-ヿ㐀-鿿＀-￯]+"
+    r"[\x80-ſƒˆ˜Ά-ώЁА-яёऀ-ॿก-๛‐-›€™←-↙♀-♯　-ヿ㐀-鿿＀-￯]+"
 )
 LETTER = re.compile(r"[À-ſΆ-ώЁ-ёऀ-ॿก-๛぀-ヿ㐀-鿿]")
 CONTROLS = re.compile("[\x80-\x84\x86-\x9f]")
@@ -158,32 +158,38 @@ def _score(text: str) -> float:
     return (good - bad) / max(len(text), 1)
 
 
-def _undo_single(line: str) -> tuple[str, int]:
-    best, top = (line, 0), 0.0
+#: Mean score of a letter from which a reading as a single-byte table is believed before any other.
+GOOD_READING = 1.15
+
+
+def _undo_single(line: str) -> tuple[str, int, float]:
+    """The line read by another single-byte table, the number of runs read anew, and the mean score of their letters."""
+    best, top = (line, 0, 0.0), 0.0
     if HIGH_RUN.search(line):
         for written in ("cp1251", "cp1253", "koi8_r", "cp866"):
-            out, n, score = [], 0, 0.0
+            out, n, score, letters = [], 0, 0.0, 0
             for w in re.split(r"(\s+)", line):
                 core = w.strip(".,;:!?()\"'-–0123456789")
                 if core and not core.isascii() and all(c in to_byte("cp1252") for c in core):
                     got = _bytes(core, "cp1252").decode(written, "replace")
                     score += _score(got) * len(got)
+                    letters += len(got)
                     n += 1
                     w = w.replace(core, got)
                 out.append(w)
             if n and score > top:
-                best, top = ("".join(out), n), score
+                best, top = ("".join(out), n, score / letters), score
         return best
     if SIGN_IN_WORD.search(line):
         got = re.sub(r"[^\x00-\x7f]", lambda m: _bytes(m.group(), "cp1252").decode("cp1250", "replace") if m.group() in to_byte("cp1252") else m.group(), line)
-        return got, 1
+        return got, 1, GOOD_READING
     if CASE_FLIP.search(line):
         for read, written in (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866")):
             back = to_byte(read)
             got = re.sub(r"[^\x00-\x7f]", lambda m: bytes([back[m.group()]]).decode(written, "replace") if m.group() in back else m.group(), line)
             s = _score("".join(c for c in got if not c.isascii()))
             if s > top and s > _score("".join(c for c in line if not c.isascii())):
-                best, top = (got, 1), s
+                best, top = (got, 1, s), s
     return best
 
 
@@ -198,9 +204,9 @@ def restore_line(line: str) -> tuple[str, int, bool]:
             break
         now, n = fixed, n + k
     if not n and REPLACEMENT not in now:
-        now, n = _undo_wide(now)
-        if not n:
-            now, n = _undo_single(now)
+        single, k, good = _undo_single(now)
+        wide = (now, 0) if k and good >= GOOD_READING else _undo_wide(now)
+        now, n = wide if wide[1] else (single, k)
     whole = REPLACEMENT not in now and not CONTROLS.search(now)
     if not whole and not n:
         n = 1
