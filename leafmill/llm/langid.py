@@ -39,7 +39,7 @@ CACHE = 400_000
 
 _HYPHEN = re.compile("[-\xac\xad‐][ \t\r]*\n[ \t]*")
 _SENTENCE = re.compile(r"[^.!?;。！？।\n]*(?:\n(?![ \t]*\n)[^.!?;。！？।\n]*)*[.!?;。！？।]?")
-_WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏ]+[^\W\d_]*)*|�+")
+_WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏ]+[^\W\d_]*)*")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ก-๛]")
 _DENSE_RUN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ก-๛]+")
 _END = ".!?;。！？।"

@@ -78,6 +78,7 @@ PLAUSIBLE = re.compile(
 LETTER = re.compile(r"[À-ſΆ-ώЁ-ёऀ-ॿก-๛぀-ヿ㐀-鿿]")
 CONTROLS = re.compile("[\x80-\x84\x86-\x9f]")
 HIGH = r"\xa0-\xffŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™\x80-\x9f"
+_HIGH = re.compile(f"[{HIGH}]")
 #: Letters of the Latin script as in no word of a living language: four accented ones in a row.
 HIGH_RUN = re.compile(r"[À-ÖØ-öø-ÿŒœŠšŸ]{4,}|(?<![\w])[À-ÖØ-öø-ÿ]{3}(?!\w)")
 WIDE_RUN = re.compile(f"[{HIGH}][{HIGH}@-~]*[{HIGH}]")
@@ -203,7 +204,11 @@ def restore_line(line: str) -> tuple[str, int, bool]:
         if not k:
             break
         now, n = fixed, n + k
-    if not n and REPLACEMENT not in now:
+    if n and len(_HIGH.findall(now)) > 0.3 * len(_HIGH.findall(line)):  # spans by chance, in another encoding
+        wide = _undo_wide(line)
+        if wide[1]:
+            now, n = wide
+    elif not n and REPLACEMENT not in now:
         single, k, good = _undo_single(now)
         wide = (now, 0) if k and good >= GOOD_READING else _undo_wide(now)
         now, n = wide if wide[1] else (single, k)

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import canonical, mojibake
+from leafmill.llm import canonical, langid, mojibake, neighbours
 from leafmill.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.found(*(table(spark, folder, t) for t in ("page_results", "jobs", "lang_codes")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.found_pages(table(spark, folder, "page_results"))
 
@@ -18,8 +22,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.found(table(spark, folder, "page_results"), table(spark, folder, "kg_triples"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.found(table(spark, folder, "kg_vectors"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p5_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
