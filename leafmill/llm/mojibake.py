@@ -257,6 +257,64 @@ def suspicious(text: str) -> bool:
     return False
 
 
+def restored_with_widths(text: str) -> tuple[str, list[int] | None]:
+    """The restored text, and for each of its characters how many of the original it stands for; None where nothing was restored.
+
+    Widths come from aligning the common ends of each line and sharing the rest by the bytes of the restored characters.
+    """
+    fixed, n, _ = restore(text)
+    if not n or fixed == text:
+        return text, None
+    widths: list[int] = []
+    for old, new in zip(text.split("\n"), fixed.split("\n"), strict=True):
+        widths += _line_widths(old, new)
+        widths.append(1)
+    return fixed, widths[:-1]
+
+
+def _line_widths(old: str, new: str) -> list[int]:
+    if len(old) == len(new):
+        return [1] * len(new)
+    out, at = [], 0
+    for k, c in enumerate(new):
+        if at < len(old) and old[at] == c and (c.isascii() or len(old) - at == len(new) - k):
+            width = 1
+        elif k + 1 == len(new):
+            width = len(old) - at
+        else:  # up to where the next plain character is met again
+            size = max(len(c.encode("utf-8", "surrogatepass")), 1)
+            width = _twice(old, at, c) if _twice(old, at, c) else size
+        out.append(width)
+        at += width
+    return out if at == len(old) else [1] * (len(new) - 1) + [max(1, len(old) - len(new) + 1)]
+
+
+def _twice(old: str, at: int, c: str) -> int:
+    """Width of a character damaged once or more, found by damaging it again."""
+    for codec in READ_AS[:6]:
+        t, now = table(codec), c
+        for _ in range(3):
+            now = "".join(chr(b) if b < 0x80 else t[b] for b in now.encode("utf-8", "surrogatepass"))
+            if old.startswith(now, at):
+                return len(now)
+            loose = "".join(chr(b) for b in c.encode("utf-8", "surrogatepass"))
+            if old.startswith(loose, at):
+                return len(loose)
+    for codec in WIDE:
+        try:
+            now = _read_wide(c, codec)
+        except UnicodeEncodeError:
+            continue
+        if old.startswith(now, at):
+            return len(now)
+    return 0
+
+
+def _read_wide(c: str, codec: str) -> str:
+    t = table("cp1252")
+    return "".join(chr(b) if b < 0x80 else t[b] for b in c.encode(codec))
+
+
 def restored(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Rows of damaged texts: the keys, `restored` text, `repairs` and `whole`. Undamaged, null and empty texts give no row; repeated
     rows stay repeated. Only texts beyond ASCII leave the JVM."""
