@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import canonical, langid, mojibake, neighbours
+from leafmill.llm import canonical, langid, mixing, mojibake, neighbours, sentences, tokens
 from leafmill.sources.tables import table
 
 
@@ -26,8 +26,24 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.found(table(spark, folder, "kg_vectors"))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.document_ids(table(spark, folder, "documents"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.found(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_found, p8_ids, p9_mix, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,27 +27,30 @@ from leafmill.llm import mojibake
 
 #: Most documents to train on.
 SAMPLE = 4000
-WEIGHTS = 1 << 15
+WEIGHTS = 1 << 18
 #: Most decisions that a worker remembers.
 CACHE = 300_000
 
 CUE, LINE, TURN = "\x1c", "\n", "\x1d"
-_HEADER = re.compile(r"(?:(?:^|(?<=\n))[\ufeff \t]*(?:\d+[ \t]*\r?\n)?[ \t]*\d\d:\d\d:\d\d[,.]\d{3} --> [^\n]*(?:\n|$))")
+_TIMES = re.compile(r"[\ufeff \t]*(?:\d+[ \t]+)?\d\d:\d\d:\d\d[,.]\d{3} --> ")
 _UPPER = "A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻΆ-ΏΑ-ΫЁА-Я"
 _NOISE = re.compile(
-    r"(?P<tag><(?!\|)/?[a-zA-Z][^<>\n]{0,60}>|\{\\[^{}\n]{0,40}\})"
-    r"|(?P<sound>\[[^\[\]]{1,80}\]|\([^()]{1,80}\)|\*[^*\n]{1,80}\*)"
-    r"|(?P<song>[♪♫][^♪♫]{0,200}[♪♫]|[♪♫][^\n]*|#[^#\n]{2,120}#)"
-    rf"|(?P<label>(?<![^\s>}}\-–—\])])[{_UPPER}][{_UPPER}'.\- ]{{1,24}}:(?=\s))"
-    r"|(?P<dash>(?:(?<=\n)|(?<=>)|(?<=\})|^)[ \t]*[-–—](?=[ \t]?[^\s\-=])[ \t]*)"
-    r"|(?P<line>[ \t]*\r?\n[ \t]*|\r)"
+    r"(?P<tag><(?!\|)/?[a-zA-Z][^<>]{0,60}>|\{\\[^{}]{0,40}\})"
+    r"|(?P<sound>\[[^\[\]]{1,80}\]|\([^()]{1,80}\)|\*[^*]{1,80}\*)"
+    r"|(?P<song>[♪♫][^♪♫]{0,200}[♪♫]|[♪♫].*|#[^#]{2,120}#)"
+    rf"|(?P<label>(?<![^\s>}}\-–—\])])[{_UPPER}][{_UPPER}'.\- ]{{1,24}}:(?=\s|$))"
+    r"|(?P<dash>(?:(?<=>)|(?<=\})|^)[ \t]*[-–—](?=[ \t]?[^\s\-=])[ \t]*)"
 )
+#: Characters without which a line has no noise but perhaps a label.
+_SIGNS = re.compile(r"[<{\[(*♪♫#\-–—:]")
 #: What adverts of subtitle makers hold.
 _ADVERT = re.compile(
-    r"(?i)@[\w-]+\.|\b[\w-]+\.(?:example|com|org|net|tv|info)\b|^\W*-=.*=-\W*$|\bsync(?:ed|hronized)\b|\bripped\b|\bcaptions?\b|\bsubtitle[sd]?\b|\bencoded by\b|\bcorrected by\b|\btranslated by\b|\bpresents$"
+    r"(?i)@[\w-]+\.|\b[\w-]+\.(?:example|com|org|net|tv|info)\b|^\W*-=.*=-\W*$|\bsync(?:ed|hronized)\b|\bripped\b|\bcaptions?\b|\bsubtitle[sd]?\b|\bencoded by\b|\bcorrected by\b|\b(?:translated|transcribed)\b.* by\b|\bpresents$"
 )
+#: A text without any of these has no advert.
+_HINTS = ("@", ".example", ".com", ".org", ".net", ".tv", ".info", "-=", "sync", "ripped", "caption", "subtitle", "encoded by", "corrected by", "transl", "transcribed", "presents")
 _CLOSE = r"(?:[  ]?»|[\"”“’'」』›])"
-_MARK = re.compile(rf"(?P<mark>\.{{2,}}|…+|[.!?…。！？।॥;]+[.!?…]*)(?P<close>{_CLOSE}*)")
+_MARK = re.compile(rf"(?P<mark>\.{{2,}}|…+|[.!?…。！？।॥;]+[.!?…]*)(?P<close>{_CLOSE}*)(?=(?P<space>[\s\x1c\x1d]*)(?P<after>[^\s\x1c\x1d]{{0,8}}))")
 _OPENERS = "\"“„«「『¡¿‘‚'"
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿ก-๛]")
 _LETTER = re.compile(r"[^\W_]")
@@ -69,64 +72,84 @@ class Stream:
         return self.origins[k] + at - self.starts[k]
 
 
+_LINES: dict[str, tuple[tuple[str, int, int], ...]] = {}
+
+
+def _parts(line: str) -> tuple[tuple[str, int, int], ...]:
+    """(separator before, begin, end) of the pieces of spoken text in a line; lines are remembered, as many come again."""
+    got = _LINES.get(line)
+    if got is None:
+        if len(_LINES) > CACHE:
+            _LINES.clear()
+        out, at, before = [], 0, ""
+        if _SIGNS.search(line):
+            for m in _NOISE.finditer(line):
+                if m.start() > at:
+                    out.append((before, at, m.start()))
+                    before = ""
+                at = m.end()
+                if m.lastgroup != "tag":
+                    before = TURN
+        stop = len(line.rstrip())
+        if stop > at or before:
+            out.append((before, at, max(at, stop)))
+        got = _LINES[line] = tuple(out)
+    return got
+
+
+def _cues(text: str) -> list[list[tuple[int, str]]]:
+    """The lines of each cue with their places; numbers and times left out."""
+    cues: list[list[tuple[int, str]]] = [[]]
+    at = 0
+    for line in text.split("\n"):
+        if " --> " in line and _TIMES.match(line):
+            if cues[-1] and cues[-1][-1][1].strip(" \t\r\ufeff").isdigit():
+                cues[-1].pop()
+            cues.append([])
+        elif line and not line.isspace():
+            cues[-1].append((at, line))
+        at += len(line) + 1
+    return cues
+
+
 def read(text: str) -> Stream:
     """The stream of spoken text of a document."""
     out: list[str] = []
     starts, origins, adverts = [0], [0], []
     size = 0
-
-    def put(piece: str, origin: int) -> None:
-        nonlocal size
-        if piece:
-            starts.append(size)
-            origins.append(origin)
-            out.append(piece)
-            size += len(piece)
-
-    def sep(c: str) -> None:
-        nonlocal size
-        if out and out[-1] == TURN or not out and c != TURN:
-            return
-        if out and out[-1] in (LINE, CUE) and c != LINE:
-            out[-1] = TURN if c == TURN else CUE
-            return
-        if out and out[-1] == CUE:
-            return
-        out.append(c)
-        size += 1
-
-    bodies, at = [], 0
-    for m in _HEADER.finditer(text):
-        bodies.append((at, m.start()))
-        at = m.end()
-    bodies.append((at, len(text)))
-    for begin, end in bodies:
-        body = text[begin:end]
-        if not body.strip():
+    low = text.lower()
+    hints = sorted(m.start() for h in _HINTS if h in low for m in re.finditer(re.escape(h), low)) if len(low) == len(text) else [0]
+    pending = TURN
+    for lines in _cues(text):
+        if not lines:
             continue
-        sep(CUE)
-        if _ADVERT.search(bare := _NOISE.sub(lambda m: "" if m.lastgroup in ("tag", "sound") else m.group(), body).strip()) and _LETTER.search(bare):
-            stop = end
-            while True:  # up to the last character that is no tag
-                t = text[begin:stop].rstrip()
-                tail = re.search(r"(?:<(?!\|)/?[a-zA-Z][^<>\n]{0,60}>|\{\\[^{}\n]{0,40}\})$", t)
-                stop = begin + (tail.start() if tail else len(t))
-                if not tail:
-                    break
-            adverts.append(stop)
-            sep(TURN)
-            continue
-        at = begin
-        for m in _NOISE.finditer(text, begin, end):
-            put(text[at : m.start()], at)
-            at = m.end()
-            kind = m.lastgroup
-            if kind == "line":
-                sep(LINE)
-            elif kind != "tag":
-                sep(TURN)
-        put(text[at:end], at)
-    sep(TURN)
+        begin, end = lines[0][0], lines[-1][0] + len(lines[-1][1])
+        if hints and (len(low) != len(text) or bisect_right(hints, end) > bisect_right(hints, begin - 1)):
+            body = text[begin:end]
+            bare = _NOISE.sub(lambda m: "" if m.lastgroup in ("tag", "sound") else m.group(), body).strip()
+            if _ADVERT.search(bare) and _LETTER.search(bare):
+                stop = len(body.rstrip())
+                while tail := re.search(r"(?:<(?!\|)/?[a-zA-Z][^<>\n]{0,60}>|\{\\[^{}\n]{0,40}\})$", body[:stop]):
+                    stop = len(body[: tail.start()].rstrip())
+                adverts.append(begin + stop)
+                pending = TURN
+                continue
+        pending = TURN if pending == TURN else CUE
+        for origin, line in lines:
+            for before, a, b in _parts(line):
+                pending = before or pending
+                if a == b:
+                    continue
+                if pending:
+                    out.append(pending)
+                    size += 1
+                starts.append(size)
+                origins.append(origin + a)
+                out.append(line[a:b])
+                size += b - a
+                pending = ""
+            pending = pending or LINE
+    out.append(TURN)
     return Stream("".join(out), starts, origins, adverts)
 
 
@@ -164,44 +187,42 @@ def _script(c: str) -> str:
 
 
 def candidates(s: str) -> Iterator[tuple[int, tuple]]:
-    """(end in the stream, description) of each end mark: mark, closing, gap, next script, previous token, next token."""
+    """(end in the stream, description) of each end mark: mark, closing, gap, next script, previous token."""
     last = 0
     for m in _MARK.finditer(s):
-        mark = m.group("mark")
-        begin, end = m.span()
+        mark, close, space, after = m.group("mark", "close", "space", "after")
+        begin, end = m.start(), m.end()
         if ";" in mark and not (begin and _GREEK.match(s[begin - 1])):
             continue
-        k = end
-        while k < len(s) and (s[k].isspace() or s[k] in "\x1c\x1d"):
-            k += 1
-        space = s[end:k]
-        gap = "turn" if TURN in space or k == len(s) else "cue" if CUE in space else "line" if "\n" in space else "space" if space else "none"
-        j = begin
-        while j > last and not s[j - 1].isspace() and s[j - 1] not in "\x1c\x1d" and begin - j < 16:
-            j -= 1
-        token = s[j:begin].lower().lstrip("\"“„«「『¡¿(-–—")
+        gap = "turn" if TURN in space or not after else "cue" if CUE in space else "line" if "\n" in space else "space" if space else "none"
+        words = s[max(last, begin - 16) : begin].split()
+        token = words[-1].lower().lstrip("\"“„«「『¡¿(-–—") if words and not s[begin - 1].isspace() else ""
         closing = ""
-        if m.group("close"):
+        if close:
             lead = s[last:begin].lstrip(" \n\x1c\x1d-–—")
-            closing = "whole" if lead[:1] in _OPENERS and lead[:1] else "inner"
-            if closing == "inner" and not any(o in lead for o in "\"“„«「『‘‚"):
-                closing = "whole"
-        kind = "..." if mark[0] in ".…" and (len(mark) > 1 or mark[0] == "…") and not set(mark) & set("!?") else "." if mark == "." else "dense" if mark[0] in "。！？" else "।" if mark[0] in "।॥" else "!?"
-        after = re.match(r"[^\s\x1c\x1d]{0,12}", s[k:]).group()
-        opened = after.lstrip(_OPENERS)
+            closing = "inner" if lead[:1] not in _OPENERS and any(o in lead for o in "\"“„«「『‘‚") else "whole"
+        first = mark[0]
+        if first in "。！？":
+            kind = "dense"
+        elif first in "।॥":
+            kind = "।"
+        elif mark == ".":
+            kind = "."
+        elif first in ".…" and "!" not in mark and "?" not in mark:
+            kind = "..."
+        else:
+            kind = "!?"
         script = _script(after[:1])
         if script == "open":
-            script = "open-" + _script(opened[:1])
-        yield end, (kind, closing, gap, script, token, after.lower()[:6])
-        last = last if False else last
-        if kind in ("dense", "।", "!?") or (kind == "." and gap != "none"):
-            last = end if not (closing == "inner") else last
-    return
+            script = "open-" + _script(after.lstrip(_OPENERS)[:1])
+        yield end, (kind, closing, gap, script, token)
+        if (kind in ("dense", "।", "!?") or (kind == "." and gap != "none")) and closing != "inner":
+            last = end
 
 
 def joined(d: tuple) -> bool | None:
     """What holds without any doubt: False inside a number, word or sentence, True before a change of speaker; None else."""
-    kind, closing, gap, script, _, _ = d
+    kind, closing, gap, script, _ = d
     inner = script.removeprefix("open-")
     if script == "comma" and gap in ("none", "space"):
         return False
@@ -225,7 +246,7 @@ def joined(d: tuple) -> bool | None:
 
 
 def features(d: tuple) -> list[int]:
-    kind, closing, gap, script, token, after = d
+    kind, closing, gap, script, token = d
     size = min(len(token), 5)
     digits = "d" if token[-1:].isdigit() else "a"
     plain = gap if gap != "turn" else "line"
@@ -262,7 +283,7 @@ def train(texts: list[str], rounds: int = 150, rate: float = 1.0, decay: float =
         key = (d[0], d[4])
         sure = joined(d)
         # a token that should have stood before some reliable boundary by now, but hardly did
-        if d[0] == "." and before[key] * share >= 4 and final[key] < 0.15 * before[key] * share:
+        if d[0] == "." and len(d[4]) <= 5 and before[key] * share >= 4 and final[key] < 0.15 * before[key] * share:
             sure = False
         if sure is not None and d[0] in (".", "...", "!?", "।"):
             rows.append(features(d))
