@@ -52,6 +52,7 @@ _HINTS = ("@", ".example", ".com", ".org", ".net", ".tv", ".info", "-=", "sync",
 _CLOSE = r"(?:[  ]?»|[\"”“’'」』›])"
 _MARK = re.compile(rf"(?P<mark>\.{{2,}}|…+|[.!?…。！？।॥;]+[.!?…]*)(?P<close>{_CLOSE}*)(?=(?P<space>[\s\x1c\x1d]*)(?P<after>[^\s\x1c\x1d]{{0,8}}))")
 _OPENERS = "\"“„«「『¡¿‘‚'"
+_QUOTES = frozenset("\"“„«「『")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿ก-๛]")
 _LETTER = re.compile(r"[^\W_]")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
@@ -201,6 +202,8 @@ def candidates(s: str) -> Iterator[tuple[int, tuple]]:
         if close:
             lead = s[last:begin].lstrip(" \n\x1c\x1d-–—")
             closing = "inner" if lead[:1] not in _OPENERS and any(o in lead for o in "\"“„«「『‘‚") else "whole"
+        elif s[last : last + 6].lstrip(" \n\x1c\x1d-–—")[:1] in _QUOTES:
+            closing = "inside"
         first = mark[0]
         if first in "。！？":
             kind = "dense"
@@ -236,8 +239,10 @@ def joined(d: tuple) -> bool | None:
         return False
     if gap == "turn" and script != "dots":
         return True
-    if script == "dots" or inner == "lower" and not (kind == "।"):
+    if script == "dots" or inner == "lower" and kind != "।":
         return False
+    if kind in ("...", "!?", "।") and closing != "inner" and inner in (("upper",) if kind == "..." else ("upper", "uncased", "dense")):
+        return True
     if kind == "..." and inner in ("uncased", "dense", "digit") and gap in ("space", "line"):
         return False
     if closing == "inner" and inner in ("uncased", "dense") and gap in ("space", "line", "cue"):
@@ -274,6 +279,8 @@ def train(texts: list[str], rounds: int = 150, rate: float = 1.0, decay: float =
     before: Counter[tuple] = Counter()
     final: Counter[tuple] = Counter()
     for d, n in seen.items():
+        if d[1] == "inside":  # a quotation goes on, so that no reliable boundary is to be expected
+            continue
         before[d[0], d[4]] += n
         if d[2] == "turn":
             final[d[0], d[4]] += n
@@ -283,7 +290,7 @@ def train(texts: list[str], rounds: int = 150, rate: float = 1.0, decay: float =
         key = (d[0], d[4])
         sure = joined(d)
         # a token that should have stood before some reliable boundary by now, but hardly did
-        if d[0] == "." and len(d[4]) <= 5 and before[key] * share >= 4 and final[key] < 0.15 * before[key] * share:
+        if d[0] == "." and d[1] != "inside" and len(d[4]) <= 5 and before[key] * share >= 4 and final[key] < 0.15 * before[key] * share:
             sure = False
         if sure is not None and d[0] in (".", "...", "!?", "।"):
             rows.append(features(d))
