@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import canonical, langid, mixing, mojibake, neighbours, sentences, tokens
+from leafmill.llm import canonical, langid, mixing, mojibake, names, neighbours, sentences, tokens
 from leafmill.sources.tables import table
 
 
@@ -26,6 +26,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.found(table(spark, folder, "kg_vectors"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.found(table(spark, folder, "kg_nodes"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.document_ids(table(spark, folder, "documents"))
 
@@ -43,7 +47,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_found, p8_ids, p9_mix, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_found, p7_found, p8_ids, p9_mix, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
