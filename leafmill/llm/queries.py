@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import canonical, langid, mixing, mojibake, names, neighbours, sentences, tokens
+from leafmill.llm import canonical, langid, mixing, mojibake, names, neighbours, scans, sentences, tokens
 from leafmill.sources.tables import table
 
 
@@ -18,6 +18,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.found_pages(table(spark, folder, "page_results"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.found(table(spark, folder, "page_results"))
+
+
+def p4_text(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.clean_pages(table(spark, folder, "page_results"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.found(table(spark, folder, "page_results"), table(spark, folder, "kg_triples"))
 
@@ -47,7 +55,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_found, p7_found, p8_ids, p9_mix, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_text, p5_found, p6_found, p7_found, p8_ids, p9_mix, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
