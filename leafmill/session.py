@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that lost executors cost no recomputation from the source."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """As `checkpoint`, as a compressed columnar table in the same folder: for wide rows of which later steps read some columns."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """At most `size` rows, picked by a hash of their keys. Rows are first thinned by the count, so that what each task hands on is bounded as well."""
+    from pyspark.sql import functions as F
+
+    h = F.xxhash64(*keys)
+    share = min(1.0, 1.5 * size / max(df.count(), 1))
+    thin = df.withColumn("_h", h).where(F.pmod("_h", F.lit(1_000_000)) < F.lit(max(1, int(share * 1_000_000))))
+    return thin.orderBy("_h", *keys).limit(size).drop("_h")
