@@ -22,7 +22,8 @@ def clamp(c: Column, low: int, high: int) -> Column:
 
 def page_limit(text: Column) -> Column:
     """Number of pages asked for: null for none or nonsense, at least 0; 0 stands for all."""
-    return F.greatest(F.lit(0), F.when(strip(text).rlike(r"^[+-]?[0-9]{1,9}$"), strip(text).cast("int")))
+    number = strip(text)
+    return F.when(number.rlike(r"^[+-]?[0-9]{1,9}$"), F.greatest(F.lit(0), number.cast("int")))
 
 
 def first_filled(*texts: Column) -> Column:
