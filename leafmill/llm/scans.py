@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import canonical, mojibake
-from leafmill.session import checkpoint
+from leafmill.session import checkpoint, materialised
 from leafmill.sources.tables import page_counts
 
 #: Lines looked at from the top and the bottom of a page, share of a job's pages that a running line is on, and least number of them.
@@ -63,7 +63,8 @@ def roman(text: str) -> int:
 def legible(line: str) -> str:
     """The line without encoding damage and look-alike characters."""
     if not line.isascii():
-        line = mojibake.restore_line(line)[0]
+        if mojibake.suspicious(line):
+            line = mojibake.restore_line(line)[0]
         if canonical.at_issue(line):
             line = canonical.plain(line)
     return line
@@ -97,7 +98,7 @@ def numbered(line: str) -> tuple[str, list[int]]:
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, line, key, template, n1, n2, strict): the lines near the edges of each page, once."""
+    """(doc_id, page, line_no, line, key, template, n1, n2, strict): the lines near the edges of each page; of a page written twice they come twice."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -105,16 +106,16 @@ def edges(pages: DataFrame) -> DataFrame:
                 for i, line in edge_lines(text):
                     clean = legible(line)
                     template, numbers = numbered(clean)
-                    out.append((doc, page, i, forgiving(clean), template, *[*numbers, None, None][:2], bool(_PAGE.match(clean))))
+                    out.append((doc, page, i, forgiving(clean), template if numbers else None, *[*numbers, None, None][:2], bool(_PAGE.match(clean))))
             yield pd.DataFrame(out, columns=["doc_id", "page", "line_no", "key", "template", "n1", "n2", "strict"]).astype({"n1": "Int64", "n2": "Int64"})
 
     kept = page_counts(pages).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
-    return kept.select("doc_id", "page", "text").mapInPandas(cut, "doc_id string, page int, line_no int, key string, template string, n1 long, n2 long, strict boolean").distinct()
+    return kept.select("doc_id", "page", "text").mapInPandas(cut, "doc_id string, page int, line_no int, key string, template string, n1 long, n2 long, strict boolean")
 
 
 def furniture(pages: DataFrame) -> DataFrame:
     """Distinct (doc_id, page, line_no) of running headers, running footers and page numbers."""
-    lines = checkpoint(edges(pages))
+    lines = materialised(edges(pages))
     size = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
     least = F.greatest(F.lit(LEAST), F.ceil(F.col("_pages") * SHARE))
     keys = lines.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("_n")).join(size, "doc_id").where((F.col("_n") >= least) & (F.length("key") > 2))
@@ -155,16 +156,34 @@ def vocabulary(pages: DataFrame) -> dict[str, int]:
         return pd.DataFrame({"word": list(c), "n": list(c.values())}, columns=["word", "n"])
 
     words = page_counts(pages).select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    kept = words.where(F.col("n") >= FREQUENT_LEAST)
+    kept = checkpoint(words.where(F.col("n") >= FREQUENT_LEAST))  # read twice, counted once
     n_all = kept.agg(F.sum("n")).first()[0] or 0
     return dict(kept.where(F.col("n") >= max(FREQUENT_LEAST, n_all * FREQUENT)).collect())
 
 
+_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _wrong, _right in CONFUSIONS:
+    _BY_FIRST.setdefault(_wrong[0], []).append((_wrong, _right))
+_GROUPS = (("rri", "m"), ("rn", "m"), ("nn", "m"), ("in", "m"), ("ri", "n"), ("ii", "u"), ("ll", "u"), ("cl", "d"), ("tl", "d"), ("li", "h"), ("ti", "h"), ("vv", "w"), ("ь1", "ы"), ("ьі", "ы"))
+
+
+def blurred(word: str) -> str:
+    """The word with characters that a scanner confuses made one; words that two confusions apart nearly always agree."""
+    for wrong, right in _GROUPS:
+        if wrong in word:
+            word = word.replace(wrong, right)
+    return word.translate(_CLASSES)
+
+
+_CLASSES = str.maketrans({c: group[0] for group in ("ec", "li!|1", "s5", "0oоοσαθ", "9gq", "6bhбß", "ft", "нипптгл", "се", "зЗ3", "шщ", "ч4", "vνυuy", "z2", "8B") for c in group})
+
+
 class Reader:
     """Verdicts on words by a vocabulary."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         self.v, self.made = vocabulary, {}
+        self.blurred = {blurred(w) for w in vocabulary}
 
     def written(self, word: str) -> str | None:
         """What was written where a scanner read `word` (in lower case); None where nothing speaks for a misreading."""
@@ -180,7 +199,7 @@ class Reader:
                 n = self.v.get(w, 0)
                 if n > count and (own or n >= RATIO):
                     best, count = w, n
-            if best is None and not own and 3 < len(word) < 30:
+            if best is None and not own and 3 < len(word) < 30 and blurred(word) in self.blurred:  # two confusions
                 for x in once:
                     for w in self._undo(x):
                         n = self.v.get(w, 0)
@@ -191,12 +210,12 @@ class Reader:
 
     @staticmethod
     def _undo(word: str) -> set[str]:
+        """What was written if one confusion happened."""
         out = set()
-        for wrong, right in CONFUSIONS:
-            at = word.find(wrong)
-            while at >= 0:
-                out.add(word[:at] + right + word[at + len(wrong) :])
-                at = word.find(wrong, at + 1)
+        for i, c in enumerate(word):
+            for wrong, right in _BY_FIRST.get(c, ()):
+                if len(wrong) == 1 or word.startswith(wrong, i):
+                    out.add(word[:i] + right + word[i + len(wrong) :])
         return out
 
     def joins(self, head: str, tail: str, sign: str) -> bool:
