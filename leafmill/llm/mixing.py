@@ -66,7 +66,7 @@ def permute(at: np.ndarray, n: int, key: int) -> np.ndarray:
 def token_counts(documents: DataFrame, targets: DataFrame, folder: str) -> DataFrame:
     """(source, doc_id, n_tokens) of the documents that a target names and that have tokens; the list of targets is broadcast, being a list of sources."""
     wanted = targets.where((F.col("weight") > 0) & (F.col("max_repeats") > 0)).select(F.col("source").alias("_target")).distinct()
-    named = documents.join(F.broadcast(wanted), F.col("source") == F.col("_target"), "left_semi")
+    named = documents.select("source", "doc_id", "text").join(F.broadcast(wanted), F.col("source") == F.col("_target"), "left_semi")
     return tokens.encoded(named, ["source", "doc_id"], out="n_tokens", folder=folder, count_only=True).where(F.col("n_tokens") > 0)
 
 
@@ -163,7 +163,8 @@ def mix(documents: DataFrame, targets: DataFrame, folder: str = tokens.FOLDER, s
     blocks = blocks_of(counts, size, lane_tokens)
     if not p.sources:
         return blocks.select(F.lit(0).cast("long").alias("shard"), F.lit(0).alias("position"), "source", F.lit(0).alias("repeat"), "block", "n_tokens", "pieces").limit(0)
-    return slots_of(documents.sparkSession, p, shard_slots, seed).join(blocks, ["source", "block"]).select("shard", "position", "source", "repeat", "block", "n_tokens", "pieces")
+    slots_and_blocks = slots_of(documents.sparkSession, p, shard_slots, seed).hint("shuffle_merge").join(blocks, ["source", "block"])  # its size is not seen in the plan
+    return slots_and_blocks.select("shard", "position", "source", "repeat", "block", "n_tokens", "pieces")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
