@@ -28,11 +28,11 @@ CYRILLIC_GREEK = {LATIN_CYRILLIC[a]: LATIN_GREEK[a] for a in LATIN_CYRILLIC.keys
 SCRIPT = {"L": r"A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "G": r"Ͱ-ͳͶͷͻ-ͽΆΈ-Ͽἀ-῾", "C": r"Ѐ-ҁҊ-ԯ"}
 MAPS = {("G", "L"): FROM_GREEK, ("C", "L"): FROM_CYRILLIC, ("L", "C"): LATIN_CYRILLIC, ("L", "G"): LATIN_GREEK, ("C", "G"): CYRILLIC_GREEK, ("G", "C"): {b: a for a, b in CYRILLIC_GREEK.items()}}
 
-SPACES = "   -   　"
+SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 #: Default-ignorable characters (from the Unicode property, without unassigned ones of the planes beyond).
-IGNORABLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ"
+IGNORABLE = "\u00ad\u034f\u061cᅟᅠ\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206fㅤ\ufe00-\ufe0f\ufeffﾠ"
 ASTRAL_IGNORABLE = "\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
-MARKS = "̀-ͯ҃-゙゚҇"
+MARKS = "\u0300-\u036f\u0483-\u0487\u3099\u309a"
 #: Letters and digits with a compatibility form, by block.
 COMPAT = (
     "ªºĲĳŀĿſǄ-ǌǱ-ǳϐ-ϖϰ-ϵᴬ-ᵪⁱⁿ"

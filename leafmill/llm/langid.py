@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import canonical, mojibake
+from leafmill.session import bounded_sample
 from leafmill.sources.tables import page_counts
 
 BUCKETS = 1 << 15
@@ -39,9 +40,9 @@ CACHE = 400_000
 
 _HYPHEN = re.compile("[-\xac\xad‐][ \t\r]*\n[ \t]*")
 _SENTENCE = re.compile(r"[^.!?;。！？।\n]*(?:\n(?![ \t]*\n)[^.!?;。！？।\n]*)*[.!?;。！？।]?")
-_WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏ]+[^\W\d_]*)*")
-_DENSE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ก-๛]")
-_DENSE_RUN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ก-๛]+")
+_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036fऀ-ःऺ-ॏ]+[^\W\d_]*)*")
+_DENSE = re.compile(r"[\u3040-ヿ㐀-鿿豈-\ufaffก-๛]")
+_DENSE_RUN = re.compile(r"[\u3040-ヿ㐀-鿿豈-\ufaffก-๛]+")
 _END = ".!?;。！？।"
 
 
@@ -183,11 +184,8 @@ def named_languages(jobs: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def training_sample(pages: DataFrame, jobs: DataFrame, codes: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `size` pages, picked by hash, with the language their job names. The pick is a top-k of each partition, so nothing
-    else is moved; only the picked keys are broadcast to find their labels."""
-    h = F.xxhash64("doc_id", "page")
-    picked = page_counts(pages).select("doc_id", "page", F.col("text").alias("_text"), h.alias("_h")).orderBy("_h", "doc_id", "page").limit(size)
-    rows = picked.collect()
+    """At most `size` pages, picked by hash, with the language their job names; only the picked keys are broadcast to find their labels."""
+    rows = bounded_sample(page_counts(pages).select("doc_id", "page", F.col("text").alias("_text")), ["doc_id", "page"], size).collect()
     spark = pages.sparkSession
     docs = sorted({r["doc_id"] for r in rows if r["doc_id"] is not None})
     keys = spark.createDataFrame([(d,) for d in docs], "doc_id string")

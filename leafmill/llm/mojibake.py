@@ -70,12 +70,12 @@ def utf8_spans(codec: str) -> re.Pattern[str]:
 
 
 #: Letters and marks that ordinary text of the languages at hand has; a span of only these may be no damage at all.
-ORDINARY = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĄąĆćĘęŁłŃńŚśŹźŻżŒœΆ-ώЁА-яё’‘“”„«»–—…©°§\s]+")
+ORDINARY = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĄąĆćĘęŁłŃńŚśŹźŻżŒœΆ-ώЁА-яё’‘“”„«»–—…\s]+")
 #: What a decoded span may consist of to be believed.
 PLAUSIBLE = re.compile(
-    r"[\x80-ſƒˆ˜Ά-ώЁА-яёऀ-ॿก-๛‐-›€™←-↙♀-♯　-ヿ㐀-鿿＀-￯]+"
+    r"[\x80-ſƒˆ˜Ά-ώЁА-яёऀ-ॿก-๛‐-›€™←-↙♀-♯\u3000-ヿ㐀-鿿\uff00-\uffef]+"
 )
-LETTER = re.compile(r"[À-ſΆ-ώЁ-ёऀ-ॿก-๛぀-ヿ㐀-鿿]")
+LETTER = re.compile(r"[À-ſΆ-ώЁ-ёऀ-ॿก-๛\u3040-ヿ㐀-鿿]")
 CONTROLS = re.compile("[\x80-\x84\x86-\x9f]")
 HIGH = r"\xa0-\xffŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™\x80-\x9f"
 _HIGH = re.compile(f"[{HIGH}]")
@@ -85,7 +85,7 @@ WIDE_RUN = re.compile(f"[{HIGH}][{HIGH}@-~]*[{HIGH}]")
 #: A sign within a word that is a Polish or Czech letter in another table.
 SIGN_IN_WORD = re.compile(r"[a-z][³¹¿][a-z]|\b[a-z]+[³¹](?=[\s,.;:]|$)|[œ\u009c][a-z]?[æ³]|[A-Z]³[a-z]|(?<!\w)¿[a-z]{2,}(?![^?]*\?)")
 #: Upper and lower case the wrong way round, as between the two common Cyrillic tables.
-CASE_FLIP = re.compile(r"[а-я][А-Я]{3,}|[─-■][А-Яа-я─-■]{2}")
+CASE_FLIP = re.compile(r"[а-я][А-Я]{3,}|[А-ЯЁ]{4,}[ ,.][А-ЯЁ]{4,}|[─-■][А-Яа-я─-■]{2}")
 
 
 def mixed_scripts(text: str) -> bool:
@@ -100,12 +100,13 @@ def _bytes(text: str, codec: str) -> bytes:
 def _undo_utf8(line: str) -> tuple[str, int]:
     """The line with believable spans decoded, and how many these were; the table whose spans cover most counts."""
     best = (0, line, 0)
+    beyond = sum(map(len, _RUN.findall(line)))
     for codec in READ_AS:
-        covered = spans = 0
+        covered = spans = decoded = 0
         parts, at = [], 0
         for m in utf8_spans(codec).finditer(line):
             got = _bytes(m.group(), codec).decode("utf-8", "replace")
-            if not PLAUSIBLE.fullmatch(got) or got.strip(" ") == "":
+            if not PLAUSIBLE.fullmatch(got) or got.strip("\u00a0") == "":
                 continue
             sure = not ORDINARY.fullmatch(m.group()) or len(got) >= 4 or mixed_scripts(m.group())
             if not sure and codec == "cp1252":
@@ -115,10 +116,13 @@ def _undo_utf8(line: str) -> tuple[str, int]:
                 continue
             parts += [line[at : m.start()], got]
             at = m.end()
+            decoded += len(m.group())
             covered += len(m.group()) + sum(3 for c in got if LETTER.match(c))
             spans += 1
         if spans and covered > best[0]:
             best = (covered, "".join(parts) + line[at:], spans)
+            if decoded == beyond:  # nothing is left for another table
+                break
     return best[1], best[2]
 
 
@@ -137,8 +141,8 @@ def _undo_wide(line: str) -> tuple[str, int]:
                 got = _bytes(run, "cp1252").decode(codec, "ignore")
                 if len(got) * 2 < len(run) - 2:
                     continue
-            kana = len(re.findall(r"[、-。぀-ヿ，一-鿿]", got))
-            usual = len(re.findall(r"[、-。぀-ヿ，。的了在和一是不]", got))
+            kana = len(re.findall(r"[、-。\u3040-ヿ，一-鿿]", got))
+            usual = len(re.findall(r"[、-。\u3040-ヿ，。的了在和一是不]", got))
             if kana >= 0.8 * len(got) and kana >= 2:
                 parts += [line[at : m.start()], got]
                 at = m.end()
@@ -189,7 +193,7 @@ def _undo_single(line: str) -> tuple[str, int, float]:
             back = to_byte(read)
             got = re.sub(r"[^\x00-\x7f]", lambda m: bytes([back[m.group()]]).decode(written, "replace") if m.group() in back else m.group(), line)
             s = _score("".join(c for c in got if not c.isascii()))
-            if s > top and s > _score("".join(c for c in line if not c.isascii())):
+            if s > top and s > _score("".join(c for c in line if not c.isascii()).lower() if line.upper() == line else "".join(c for c in line if not c.isascii())) + 0.2:
                 best, top = (got, 1, s), s
     return best
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.session import checkpoint
+from leafmill.session import bounded_sample, checkpoint
 
 #: Tables and bits of each; two 64-bit words hold the code.
 TABLES, BITS = 10, 12
@@ -247,7 +247,7 @@ def most_similar(vectors: DataFrame, k: int = 5, floor: float = -1.0, node: str
     Copies of one vector beyond k + 1 answer with the first k copies and are no answer to others. An empty table gives no rows.
     """
     usable = vectors.select(node, vec).where(F.col(node).isNotNull() & F.col(vec).isNotNull())
-    sample = np.array([r[0] for r in usable.orderBy(F.xxhash64(node), node).limit(SAMPLE).select(vec).collect() if r[0] and None not in r[0]], dtype=object)
+    sample = np.array([r[0] for r in bounded_sample(usable, [node], SAMPLE).select(vec).collect() if r[0] and None not in r[0]], dtype=object)
     dims = len(sample[0]) if len(sample) else 0
     sample = np.array([s for s in sample if len(s) == dims], dtype=np.float64).reshape(-1, max(dims, 1))
     norm = np.sqrt((sample**2).sum(axis=1)) if len(sample) else np.zeros(0)

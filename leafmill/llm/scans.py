@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,20 +78,21 @@ def edge_lines(text: str) -> list[tuple[int, str]]:
 
 
 def forgiving(line: str) -> str:
-    """Key of a line by which confusions of a scanner hardly tell."""
-    s = " ".join(line.casefold().split())
-    return s.replace("rn", "m").replace("vv", "w").translate(_FOLD)
+    """Key of a line (folded, single spaces) by which confusions of a scanner hardly tell."""
+    return line.replace("rn", "m").replace("vv", "w").translate(_FOLD)
 
 
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "c": "e", "5": "s", "6": "b", "h": "b", "9": "g", "f": "t", "—": "–", "-": "–"})
 
 
 def numbered(line: str) -> tuple[str, list[int]]:
-    """Template of a line with its numbers as `#`, and the numbers."""
-    s = " ".join(line.casefold().split())
+    """Template of a line (folded, single spaces) with its numbers as `#`, and the numbers."""
+    s = line
     found = [int(x) for x in _NUMBER.findall(s)[:4] if len(x) < 8]
     if found:
         return _NUMBER.sub("#", s), found
+    if len(s) > 16:
+        return s, []
     m = _ROMAN.fullmatch(s.strip(" –-.[]()"))
     if m and m.group():
         return s.replace(m.group(), "#r"), [roman(m.group())]
@@ -99,18 +101,26 @@ def numbered(line: str) -> tuple[str, list[int]]:
 
 def edges(pages: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, line, key, template, n1, n2, strict): the lines near the edges of each page; of a page written twice they come twice."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, page, text in zip(b["doc_id"], b["page"], b["text"], strict=True):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for raw in batches:
+            b = raw.to_pandas()
+            at, no, keys, templates, first, second, strict = [], [], [], [], [], [], []
+            for k, text in enumerate(b["text"]):
                 for i, line in edge_lines(text):
-                    clean = legible(line)
+                    clean = " ".join(legible(line).casefold().split())
                     template, numbers = numbered(clean)
-                    out.append((doc, page, i, forgiving(clean), template if numbers else None, *[*numbers, None, None][:2], bool(_PAGE.match(clean))))
-            yield pd.DataFrame(out, columns=["doc_id", "page", "line_no", "key", "template", "n1", "n2", "strict"]).astype({"n1": "Int64", "n2": "Int64"})
+                    at.append(k)
+                    no.append(i)
+                    keys.append(forgiving(clean))
+                    templates.append(template if numbers else None)
+                    first.append(numbers[0] if numbers else None)
+                    second.append(numbers[1] if len(numbers) > 1 else None)
+                    strict.append(bool(numbers) and len(clean) <= 40 and bool(_PAGE.match(clean)))
+            made = [pa.array(b["doc_id"].to_numpy()[at], pa.string()), pa.array(b["page"].to_numpy()[at].astype("int32")), pa.array(no, pa.int32()), pa.array(keys, pa.string()), pa.array(templates, pa.string()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(strict, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "page", "line_no", "key", "template", "n1", "n2", "strict"])
 
     kept = page_counts(pages).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
-    return kept.select("doc_id", "page", "text").mapInPandas(cut, "doc_id string, page int, line_no int, key string, template string, n1 long, n2 long, strict boolean")
+    return kept.select("doc_id", "page", "text").mapInArrow(cut, "doc_id string, page int, line_no int, key string, template string, n1 long, n2 long, strict boolean")
 
 
 def furniture(pages: DataFrame) -> DataFrame:
@@ -247,7 +257,7 @@ class Reader:
         raw = text.split("\n")
         hard = not text.isascii() and (mojibake.suspicious(text) or canonical.at_issue(text))
         lines = [legible(x) for x in raw] if hard else raw
-        bad = self.misread(_TOKEN.findall("\n".join(lines).lower())) if scanned else set()
+        bad = self.misread(_TOKEN.findall(("\n".join(lines) if hard else text).lower())) if scanned else set()
         out = []
         carried = ""  # the half of a word at the beginning of the line
         for i, line in enumerate(lines):
@@ -326,7 +336,7 @@ class Reader:
 
 
 def canonical_dense(c: str) -> bool:
-    return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or c in "、。，！？"
+    return "\u3040" <= c <= "ヿ" or "㐀" <= c <= "鿿" or c in "、。，！？"
 
 
 def line_kinds(pages: DataFrame, v: dict[str, int]) -> DataFrame:
@@ -336,8 +346,9 @@ def line_kinds(pages: DataFrame, v: dict[str, int]) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(sent.value)
         for b in batches:
-            out = [(d, p, i, k) for d, p, s, t in zip(b["doc_id"], b["page"], b["source"], b["text"], strict=True) for i, k in reader.lines(t, s != "text")]
-            yield pd.DataFrame(out, columns=["doc_id", "page", "line_no", "kind"])
+            out = [reader.lines(t, s != "text") for s, t in zip(b["source"], b["text"], strict=True)]
+            at = [k for k, x in enumerate(out) for _ in x]
+            yield b[["doc_id", "page"]].iloc[at].assign(line_no=[i for x in out for i, _ in x], kind=[k for x in out for _, k in x])
 
     kept = page_counts(pages).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
     return kept.select("doc_id", "page", "source", "text").mapInPandas(judge, "doc_id string, page int, line_no int, kind string")

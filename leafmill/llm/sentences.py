@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import mojibake
+from leafmill.session import bounded_sample
 
 #: Most documents to train on.
 SAMPLE = 4000
@@ -49,13 +50,13 @@ _ADVERT = re.compile(
 )
 #: A text without any of these has no advert.
 _HINTS = ("@", ".example", ".com", ".org", ".net", ".tv", ".info", "-=", "sync", "ripped", "caption", "subtitle", "encoded by", "corrected by", "transl", "transcribed", "presents")
-_CLOSE = r"(?:[  ]?»|[\"”“’'」』›])"
+_CLOSE = r"(?:[ \u00a0\u202f]?»|[\"”“’'」』›])"
 _MARK = re.compile(rf"(?P<mark>\.{{2,}}|…+|[.!?…。！？।॥;]+[.!?…]*)(?P<close>{_CLOSE}*)(?=(?P<space>[\s\x1c\x1d]*)(?P<after>[^\s\x1c\x1d]{{0,8}}))")
 _OPENERS = "\"“„«「『¡¿‘‚'"
 _QUOTES = frozenset("\"“„«「『")
-_DENSE = re.compile(r"[぀-ヿ㐀-鿿ก-๛]")
+_DENSE = re.compile(r"[\u3040-ヿ㐀-鿿ก-๛]")
 _LETTER = re.compile(r"[^\W_]")
-_GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
+_GREEK = re.compile(r"[Ͱ-Ͽἀ-\u1fff]")
 _DENSE_MARK = re.compile(r"[。！？]")
 _THAI = re.compile(r"[ก-๛]")
 
@@ -350,11 +351,9 @@ class Splitter:
 
 
 def trained(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """Fitted on at most SAMPLE documents, picked by hash within each partition before they are brought together."""
-    kept = documents.where(F.length(F.trim(text)) > 0)
-    share = min(1.0, 4 * SAMPLE / max(documents.count(), 1))
-    hashed = kept.select(F.xxhash64("doc_id").alias("_h"), F.col(text).alias("_text")).where(F.pmod("_h", F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    return train([r["_text"] for r in hashed.orderBy("_h").limit(SAMPLE).collect()])
+    """Fitted on at most SAMPLE documents, picked by hash."""
+    kept = documents.where(F.length(F.trim(text)) > 0).select("doc_id", F.col(text).alias("_text"))
+    return train([r["_text"] for r in bounded_sample(kept, ["doc_id"], SAMPLE).collect()])
 
 
 def ends(documents: DataFrame, keys: list[str], weights: np.ndarray, text: str = "text") -> DataFrame:

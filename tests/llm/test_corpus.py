@@ -36,7 +36,7 @@ def ids(encoder, texts):
 
 
 def test_hard_texts(library, encoder):
-    texts = ["", " ", "\n\n a", "a" * 5000, "ab" * 300, "<|endoftext|> x", "1\r\n00:00:01,000 --> 00:00:02,000\r\n", "don't we'll", "日本語" * 40, "ภาษาไทย" * 30, "\x1c\x1d a\x85b\xa0c　d", "é‍", "😀" * 20, "A" * 100_000]
+    texts = ["", " ", "\n\n a", "a" * 5000, "ab" * 300, "<|endoftext|> x", "1\r\n00:00:01,000 --> 00:00:02,000\r\n", "don't we'll", "日本語" * 40, "ภาษาไทย" * 30, "\x1c\x1d a\x85b\xa0c\u3000d", "e\u0301\u200d", "😀" * 20, "A" * 100_000]
     assert ids(encoder, texts) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     assert ids(encoder, [None, ""]) == [[], []]
 
