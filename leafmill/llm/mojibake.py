@@ -81,7 +81,7 @@ HIGH = r"\xa0-\xffŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™\x80
 _HIGH = re.compile(f"[{HIGH}]")
 #: Letters of the Latin script as in no word of a living language: four accented ones in a row.
 HIGH_RUN = re.compile(r"[À-ÖØ-öø-ÿŒœŠšŸ]{4,}|(?<![\w])[À-ÖØ-öø-ÿ]{3}(?!\w)")
-WIDE_RUN = re.compile(f"[{HIGH}][{HIGH}@-~]*[{HIGH}]")
+WIDE_RUN = re.compile(f"[{HIGH}][{HIGH}@-~]*[{HIGH}](?:[@-~](?![A-Za-z]))?")
 #: A sign within a word that is a Polish or Czech letter in another table.
 SIGN_IN_WORD = re.compile(r"[a-z][³¹¿][a-z]|\b[a-z]+[³¹](?=[\s,.;:]|$)|[œ\u009c][a-z]?[æ³]|[A-Z]³[a-z]|(?<!\w)¿[a-z]{2,}(?![^?]*\?)")
 #: Upper and lower case the wrong way round, as between the two common Cyrillic tables.
@@ -97,30 +97,36 @@ def _bytes(text: str, codec: str) -> bytes:
     return bytes(back[c] if c in back else ord(c) for c in text)
 
 
+def believed(span: str, got: str, codec: str) -> bool:
+    """Whether a span can hardly be what was written: it has signs that ordinary text lacks, letters of two scripts, or much of it is decoded."""
+    if not ORDINARY.fullmatch(span) or len(got) >= 4 or mixed_scripts(span):
+        return True
+    # ordinary signs either way: not a capital letter with its closing quotation mark, nor letters only
+    return codec == "cp1252" and span[0] in "ÃÅÐÑÎÏâ" and span[1:] not in ("”", "“", "’", "»") and not span.isalpha()
+
+
 def _undo_utf8(line: str) -> tuple[str, int]:
     """The line with believable spans decoded, and how many these were; the table whose spans cover most counts."""
     best = (0, line, 0)
     beyond = sum(map(len, _RUN.findall(line)))
     for codec in READ_AS:
-        covered = spans = decoded = 0
-        parts, at = [], 0
+        found = []
+        sure = False
         for m in utf8_spans(codec).finditer(line):
             got = _bytes(m.group(), codec).decode("utf-8", "replace")
-            if not PLAUSIBLE.fullmatch(got) or got.strip("\u00a0") == "":
-                continue
-            sure = not ORDINARY.fullmatch(m.group()) or len(got) >= 4 or mixed_scripts(m.group())
-            if not sure and codec == "cp1252":
-                # ordinary signs either way: believed unless a capital letter with its closing quotation mark, or letters only
-                sure = m.group()[0] in "ÃÅÐÑÎÏâ" and m.group()[1:] not in ("”", "“", "’", "»") and not m.group().isalpha()
-            if not sure:
-                continue
-            parts += [line[at : m.start()], got]
-            at = m.end()
-            decoded += len(m.group())
-            covered += len(m.group()) + sum(3 for c in got if LETTER.match(c))
-            spans += 1
-        if spans and covered > best[0]:
-            best = (covered, "".join(parts) + line[at:], spans)
+            if PLAUSIBLE.fullmatch(got) and got.strip("\xa0"):
+                found.append((m.start(), m.end(), got))
+                sure = sure or believed(m.group(), got, codec)
+        if not sure:  # what ordinary text may hold as well counts only beside what it cannot
+            continue
+        parts, at, covered, decoded = [], 0, 0, 0
+        for begin, end, got in found:
+            parts += [line[at:begin], got]
+            at = end
+            decoded += end - begin
+            covered += end - begin + sum(3 for c in got if LETTER.match(c))
+        if covered > best[0]:
+            best = (covered, "".join(parts) + line[at:], len(found))
             if decoded == beyond:  # nothing is left for another table
                 break
     return best[1], best[2]
@@ -210,7 +216,7 @@ def restore_line(line: str) -> tuple[str, int, bool]:
         now, n = fixed, n + k
     if n and len(_HIGH.findall(now)) > 0.3 * len(_HIGH.findall(line)):  # spans by chance, in another encoding
         wide = _undo_wide(line)
-        if wide[1]:
+        if wide[1] and len(_HIGH.findall(wide[0])) < 0.1 * len(_HIGH.findall(line)):
             now, n = wide
     elif not n and REPLACEMENT not in now:
         single, k, good = _undo_single(now)

