@@ -86,3 +86,27 @@ def summary(node: DataFrame, edge: DataFrame) -> DataFrame:
     """(doc_id, num_nodes, num_edges)."""
     n = node.groupBy("doc_id").agg(F.count("*").alias("num_nodes"))
     return n.join(edge.groupBy("doc_id").agg(F.count("*").alias("num_edges")), "doc_id", "left").fillna(0, ["num_edges"])
+
+
+def json_rows(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """(doc_id, kind, ord, json): a graph's export as rows, `entity` by id and `triple` by seq; a writer puts them between brackets."""
+    full = with_degree(node, edge)
+    entity = full.select("doc_id", F.lit("entity").alias("kind"), F.col("node_id").cast("long").alias("ord"), F.to_json(F.struct("name", "type", "pages", "degree")).alias("json"))
+    triple = edge.select("doc_id", F.lit("triple").alias("kind"), F.col("seq").alias("ord"), F.to_json(F.struct("subject", "predicate", "object", "page"), {"ignoreNullFields": "false"}).alias("json"))
+    return entity.unionByName(triple)
+
+
+def telemetry(asked: DataFrame) -> DataFrame:
+    """(doc_id, pages_built, pages_failed, last_error) of extraction responses (doc_id, page, error)."""
+    bad = F.col("error").isNotNull()
+    return asked.groupBy("doc_id").agg(F.count_if(~bad).alias("pages_built"), F.count_if(bad).alias("pages_failed"), F.max_by("error", F.when(bad, F.col("page"))).alias("last_error"))
+
+
+def usable_pages(pages: DataFrame, most: int = 0) -> DataFrame:
+    """Finished pages with text, of each document the first `most` in page order; 0 stands for all."""
+    from leafmill.operators.pages import with_text
+
+    kept = with_text(pages)
+    if most <= 0:
+        return kept
+    return kept.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))).where(F.col("_r") <= most).drop("_r")

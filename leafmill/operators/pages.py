@@ -117,3 +117,11 @@ def outline(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     lines = safe.where(~is_blank(F.col("_t"))).select("doc_id", "page", F.posexplode(F.split("_t", "\n", -1)).alias("seq", "text")).select("doc_id", "page", (F.col("seq") + 1).alias("seq"), F.lit("p").alias("kind"), "text")
     empty = safe.where(is_blank(F.col("_t"))).select("doc_id", "page", F.lit(1).alias("seq"), F.lit("empty").alias("kind"), F.lit("(no text on this page)").alias("text"))
     return head.unionByName(second).unionByName(lines).unionByName(empty)
+
+
+def threaded(lines: Column, kept: Column, cleaned: Column) -> Column:
+    """Lines of a cleaned page by the numbers of the lines kept; where their texts are not those of the cleaned page, as after trimming, by `realigned`."""
+    picked = F.transform(F.filter(kept, lambda i: i < F.size(lines)), lambda i: F.get(lines, i))
+    texts = F.transform(picked, lambda x: F.coalesce(x["text"], F.lit("")))
+    same = texts == F.split(F.coalesce(cleaned, F.lit("")), "\n", -1)
+    return F.when(F.size(lines) > 0, F.when(same, F.transform(picked, lambda x: F.struct(x["text"].alias("text"), x["confidence"].cast("double").alias("confidence")))).otherwise(realigned(cleaned, lines)))

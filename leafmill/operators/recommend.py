@@ -67,3 +67,23 @@ def evidence(scores: DataFrame, baseline: str) -> DataFrame:
     decision = F.when(F.col("_m") >= DECISIVE, "decisive").when(F.col("_m") >= MARGINAL, "marginal").otherwise("inconclusive")
     winner = F.when(F.col("_m") >= MARGINAL, F.col("_best.n")).otherwise(F.lit(baseline))
     return got.select("config", F.round("_c", 3).alias("composite"), "mean_conf", "confident_lines", decision.alias("decision"), (F.col("config") == winner).alias("recommended"))
+
+
+def rationale(decision: str, margin: float, mode: str = "max", preprocess: bool = True, binarize: bool = False) -> str:
+    """Why settings are recommended, in a sentence."""
+    if decision == "inconclusive":
+        return "No other settings clearly beat the default on the sampled pages; the default is recommended."
+    knobs = [k for k, on in (("binarisation on", binarize), ("preprocessing off", not preprocess), ("faster mode", mode == "fast")) if on]
+    strength = "clearly" if decision == "decisive" else "slightly"
+    return f"On the sampled pages, {', '.join(knobs) or 'the default settings'} {strength} outscored the default (by {margin:.2f}). Verify against the original."
+
+
+def fallback(spark: SparkSession, reason: str, lang: str = "en") -> DataFrame:
+    """The recommendation where nothing could be tried: the default settings and the reason."""
+    default = GRID[0]
+    return spark.createDataFrame([("inconclusive", reason, default[1], lang, default[2], default[3], False)], "decision string, rationale string, mode string, lang string, preprocess boolean, binarize boolean, handwriting boolean")
+
+
+def born_digital(pages: DataFrame) -> DataFrame:
+    """(doc_id, pages, text_pages, needs_ocr): documents of which every page has a text layer need no recognition. Needs doc_id, page, has_text."""
+    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if("has_text").alias("text_pages")).withColumn("needs_ocr", F.col("text_pages") < F.col("pages"))

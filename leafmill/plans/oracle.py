@@ -165,6 +165,10 @@ config = CASE WHEN m >= 0.03::DOUBLE THEN b ELSE 'max_gray' END AS recommended F
         "q_sampled_pages": f"""WITH {PAGES}, h AS (SELECT doc_id, page, CASE WHEN source = 'text' THEN {layer} >= 50 ELSE false END AS has_text, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM p),
 b AS (SELECT *, coalesce(sum(CASE WHEN has_text THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h WHERE i <= 9)
 SELECT doc_id, page FROM b WHERE before < 2 AND NOT has_text""",
+        "q_born_digital": f"""WITH {PAGES}, h AS (SELECT doc_id, CASE WHEN source = 'text' THEN {layer} >= 50 ELSE false END AS has_text FROM p)
+SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE has_text) AS text_pages, count(*) FILTER (WHERE has_text) < count(*) AS needs_ocr FROM h GROUP BY 1""",
+        "q_graph_json": f"""WITH {_GRAPH} SELECT doc_id, 'entity' AS kind, node_id::BIGINT AS ord, to_json({{'name': name, 'type': type, 'pages': pages, 'degree': degree}})::VARCHAR AS json FROM dg
+UNION ALL SELECT doc_id, 'triple', seq, to_json({{'subject': subject, 'predicate': predicate, 'object': object, 'page': page}})::VARCHAR FROM ed""",
         "q_graph_nodes": f"WITH {_GRAPH} SELECT doc_id, node_id, name, type, array_to_string(pages, ',') AS pages, degree FROM dg",
         "q_graph_edges": f"WITH {_GRAPH} SELECT doc_id, seq, page, subject_id, object_id, predicate, subject, object FROM ed",
         "q_graph_texts": f"""WITH {_GRAPH}, i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, node_id ORDER BY seq) AS r FROM ad),

@@ -143,6 +143,10 @@ def q_settings_choice(spark: SparkSession, folder: str) -> DataFrame:
     return recommend.evidence(recommend.scored(_sweep(spark, folder)), "max_gray")
 
 
+def q_born_digital(spark: SparkSession, folder: str) -> DataFrame:
+    return recommend.born_digital(_pages(spark, folder).select("doc_id", "page", text.has_text_layer(F.when(F.col("source") == "text", F.col("text"))).alias("has_text")))
+
+
 def q_sampled_pages(spark: SparkSession, folder: str) -> DataFrame:
     return recommend.sampled(_pages(spark, folder).select("doc_id", "page", text.has_text_layer(F.when(F.col("source") == "text", F.col("text"))).alias("has_text")))
 
@@ -166,6 +170,10 @@ def q_graph_texts(spark: SparkSession, folder: str) -> DataFrame:
     return build.node_texts(*_graph(spark, folder))
 
 
+def q_graph_json(spark: SparkSession, folder: str) -> DataFrame:
+    return build.json_rows(*_graph(spark, folder))
+
+
 def q_graph_strongest(spark: SparkSession, folder: str) -> DataFrame:
     top, kept = build.strongest(*_graph(spark, folder))
     shown = kept.groupBy("doc_id").agg(F.count("*").alias("edges"))
@@ -230,8 +238,8 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             p3_found, p3_jobs, p3_pages, p3_lines, q_best_pages, q_text_layer, q_page_route, q_header_keys, q_strip_headers, q_strip_headers_low, q_line_confidence, q_page_labels, q_search,
-            q_export_txt, q_export_md, q_export_copy, q_export_json, q_outline, q_realign, q_reading_order, q_reading_order_handwriting, q_settings_scores, q_settings_choice, q_sampled_pages,
-            q_graph_nodes, q_graph_edges, q_graph_texts, q_graph_strongest, q_graph_summary, q_graph_search, q_graph_search_support, q_vector_seeds,
+            q_export_txt, q_export_md, q_export_copy, q_export_json, q_outline, q_realign, q_reading_order, q_reading_order_handwriting, q_settings_scores, q_settings_choice, q_sampled_pages, q_born_digital,
+            q_graph_nodes, q_graph_edges, q_graph_texts, q_graph_json, q_graph_strongest, q_graph_summary, q_graph_search, q_graph_search_support, q_vector_seeds,
             q_job_state, q_job_pages, q_job_frames, q_jobs_evicted, q_payload_triples, q_filenames,
         )
     }

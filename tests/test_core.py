@@ -277,3 +277,30 @@ def test_streamed_state_equals_batch(spark, tmp_path):
     q = streaming.running_state(stream).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["job_id"], r["status"], r["processed"]) for r in spark.table("states").collect()} == {("a", "done", 1), ("b", "processing", 3)}
+
+
+def test_files_to_pages(spark, tmp_path):
+    from leafmill.sources import files
+
+    (tmp_path / "a.pdf").write_text("one\ftwo")
+    (tmp_path / "b b.PDF").write_bytes(b"%encrypt%")
+    (tmp_path / "c.pdf").write_bytes(b"")
+    (tmp_path / "d.txt").write_text("not asked for")
+    made = files.split(files.files(spark, str(tmp_path)), files.PlainSplitter)
+    got = sorted((r["filename"], r["page"] or 0, r["status"]) for r in made.collect())
+    assert got == [("a.pdf", 1, "pending"), ("a.pdf", 2, "pending"), ("b b.PDF", 0, "error"), ("c.pdf", 0, "error")]
+    assert {r["filename"]: r["reason"] for r in files.failures(made).collect()} == {"b b.PDF": "encrypted", "c.pdf": "corrupt"}
+
+
+def test_threaded_lines_of_equal_text(spark):
+    df = spark.createDataFrame([("x\na", [0, 2], [("x", 0.1), ("a", 0.2), ("a", 0.3)]), ("a", [0, 1], [("", 0.1), ("a", 0.2)])], "c string, k array<int>, l array<struct<text:string,confidence:double>>")
+    got = [[x["confidence"] for x in r["t"]] for r in df.select(pages.threaded(F.col("l"), F.col("k"), F.col("c")).alias("t")).collect()]
+    assert got == [[0.1, 0.3], [0.2]]  # by number, not the first of equal text; by text after trimming
+
+
+def test_fallback_and_telemetry(spark):
+    assert recommend.fallback(spark, "why").first()["mode"] == "max" and "clearly" in recommend.rationale("decisive", 0.1, binarize=True)
+    asked = spark.createDataFrame([("d", 1, None), ("d", 2, "bad"), ("d", 3, "worse")], "doc_id string, page int, error string")
+    assert tuple(build.telemetry(asked).first()) == ("d", 1, 2, "worse")
+    p = make_pages(spark, ["a", " ", "b", "c"])
+    assert [r["page"] for r in build.usable_pages(p, 2).orderBy("page").collect()] == [1, 3] and build.usable_pages(p).count() == 3
