@@ -50,5 +50,5 @@ def sse_frames(events: DataFrame) -> DataFrame:
     """(job_id, seq, frame): events as server-sent frames, up to the first terminal one of each job."""
     end = F.min(F.when(F.col("type").isin(*TERMINAL), F.col("seq"))).over(Window.partitionBy("job_id"))
     once = events.dropDuplicates(["job_id", "seq"]).withColumn("_end", end).where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
-    body = F.to_json(F.struct("type", "page"))
+    body = F.to_json(F.struct("type", "page"), {"ignoreNullFields": "false"})
     return once.select("job_id", "seq", F.concat(F.lit("data: "), body, F.lit("\n\n")).alias("frame"))

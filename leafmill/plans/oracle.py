@@ -189,6 +189,9 @@ SELECT node_id, sem FROM s WHERE sem > 0 ORDER BY sem DESC, node_id LIMIT 50""",
 g AS (SELECT job_id, coalesce(arg_max(known, (seq, ts)) FILTER (WHERE known IS NOT NULL), 'pending') AS status, coalesce(max(pr) FILTER (WHERE type = 'progress'), 0) AS processed, coalesce(max(tt), 0) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY 1)
 SELECT *, CASE WHEN total > 0 THEN least(100, floor(100.0::DOUBLE * processed / total + 0.5)::INT) ELSE 0 END AS percent FROM g""",
         "q_job_pages": "SELECT job_id, page, max(seq) AS seq, arg_max(type, (seq, type)) AS type FROM job_events WHERE page IS NOT NULL GROUP BY 1, 2",
+        "q_job_frames": """WITH e AS (SELECT job_id, seq, any_value(type) AS type, any_value(page) AS page FROM job_events GROUP BY 1, 2),
+x AS (SELECT *, min(CASE WHEN type IN ('done', 'error', 'cancelled') THEN seq END) OVER (PARTITION BY job_id) AS last FROM e)
+SELECT job_id, seq, 'data: ' || to_json({'type': type, 'page': page})::VARCHAR || chr(10) || chr(10) AS frame FROM x WHERE last IS NULL OR seq <= last""",
         "q_jobs_evicted": f"""WITH g AS (SELECT job_id, arg_max(type, (seq, ts)) FILTER (WHERE type IN ('done', 'error', 'cancelled', 'progress')) AS status, max(ts) AS last_ts FROM job_events GROUP BY 1),
 d AS (SELECT *, epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_ts) AS age FROM g WHERE status IN ('done', 'error', 'cancelled')),
 f AS (SELECT *, row_number() OVER (ORDER BY last_ts DESC, job_id DESC) AS r FROM d WHERE age <= 172800000000)
