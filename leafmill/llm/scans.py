@@ -44,8 +44,9 @@ CONFUSIONS = (
 
 HYPHENS = "-‐‑\xac\xad"
 _BREAK = re.compile(rf"([^\W\d_][\w'’!|]*(?:-[\w'’!|]+)*)[{HYPHENS}][ \t\r\xa0]*$")
+_LINE_BREAK = re.compile(rf"[{HYPHENS}][ \t\r\xa0]*\n")
 _FIRST = re.compile(r"[ \t\xa0]*([\w!|]+(?:['’!|-][\w!|]+)*)")
-_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+|[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _TOKEN = re.compile(r"[\w!|]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _NUMBER = re.compile(r"\d+")
@@ -73,8 +74,20 @@ def legible(line: str) -> str:
 
 def edge_lines(text: str) -> list[tuple[int, str]]:
     """(line number, text) of the first and last EDGE lines that are not blank."""
-    lines = [(i, s) for i, line in enumerate(text.split("\n")) if (s := line.strip())]
-    return lines[:EDGE] + [x for x in lines[-EDGE:] if x[0] > lines[min(EDGE, len(lines)) - 1][0]]
+    raw = text.split("\n")
+    out: list[tuple[int, str]] = []
+    for i, line in enumerate(raw):
+        if len(out) == EDGE:
+            break
+        if s := line.strip():
+            out.append((i, s))
+    low: list[tuple[int, str]] = []
+    for i in range(len(raw) - 1, out[-1][0] if out else -1, -1):
+        if len(low) == EDGE:
+            break
+        if s := raw[i].strip():
+            low.append((i, s))
+    return out + low[::-1]
 
 
 def forgiving(line: str) -> str:
@@ -193,6 +206,7 @@ class Reader:
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         self.v, self.made = vocabulary, {}
+        self.sound: set[str] = set()
         self.blurred = {blurred(w) for w in vocabulary}
 
     def written(self, word: str) -> str | None:
@@ -241,60 +255,55 @@ class Reader:
             return bool(fixed)
         return not (self.v.get(last, 0) and self.v.get(tail, 0) and len(last) > 2 and sign == "-")
 
-    def misread(self, tokens: list[str]) -> set[str]:
-        """Those of the tokens that were misread."""
+    def misread(self, tokens: set[str]) -> set[str]:
+        """Those of the tokens that were misread; tokens found sound before are left out at once."""
         out = set()
-        for t in set(tokens):
+        if len(self.sound) > CACHE:
+            self.sound.clear()
+        for t in tokens - self.sound:
             bare = t
             if t[-1] == "!" and t.rstrip("!") in self.v:
                 bare = t.rstrip("!")
             if self.written(bare):
                 out.add(t)
+            else:
+                self.sound.add(t)
         return out
 
     def lines(self, text: str, scanned: bool) -> list[tuple[int, str]]:
         """(line number, kind) of the lines that are cut or misread; running lines are not known here."""
-        raw = text.split("\n")
-        hard = not text.isascii() and (mojibake.suspicious(text) or canonical.at_issue(text))
-        lines = [legible(x) for x in raw] if hard else raw
-        bad = self.misread(_TOKEN.findall(("\n".join(lines) if hard else text).lower())) if scanned else set()
-        out = []
-        carried = ""  # the half of a word at the beginning of the line
-        for i, line in enumerate(lines):
-            s = line.rstrip()
-            if not s:
-                carried = ""
+        if not text.isascii() and (mojibake.suspicious(text) or canonical.at_issue(text)):
+            text = "\n".join(legible(x) for x in text.split("\n"))
+        low = text.lower() if scanned else ""
+        bad = self.misread(set(_TOKEN.findall(low))) if scanned else set()
+        out: set[tuple[int, str]] = set()
+        halves: dict[int, tuple[str, str]] = {}  # of the line that is cut
+        for m in _LINE_BREAK.finditer(text):
+            first = _FIRST.match(text, m.end())
+            last = _BREAK.search(text[max(0, m.start() - 40) : m.start() + 1].rpartition("\n")[2])
+            if not first or not last:
                 continue
-            head = nxt = ""
-            if s[-1] in HYPHENS and i + 1 < len(lines) and (m := _BREAK.search(s[-40:])) and (n := _FIRST.match(lines[i + 1])):
-                head, nxt = m.group(1), n.group(1)
-                if nxt[0].isupper() or not self.joins(head, nxt, s[-1]):
-                    head = nxt = ""
-            if head:
-                out.append((i, "hyphen"))
-            if scanned:
-                wrong = False
-                if bad:
-                    tokens = _TOKEN.findall(line.lower())
-                    if carried and tokens and tokens[0] in carried.lower():  # halves are judged joined
-                        tokens = tokens[1:]
-                    if head and tokens and head.lower().endswith(tokens[-1]):
-                        tokens = tokens[:-1]
-                    wrong = any(t in bad for t in tokens)
-                if head:
-                    last = head.rpartition("-")[2]
-                    word = (last + nxt).lower()
-                    right = self.written(word)
-                    if right:
-                        k = next((j for j, (a, b) in enumerate(zip(word, right)) if a != b), len(word))
-                        if k < len(last):
-                            wrong = True
-                        else:
-                            out.append((i + 1, "misread"))
-                if wrong:
-                    out.append((i, "misread"))
-            carried = nxt
-        return out
+            head, nxt, sign = last.group(1), first.group(1), text[m.start()]
+            if nxt[0].isupper() or not self.joins(head, nxt, sign):
+                continue
+            i = text.count("\n", 0, m.start())
+            out.add((i, "hyphen"))
+            half = head.rpartition("-")[2]
+            halves[i] = (half, nxt)
+            if scanned and (right := self.written((half + nxt).lower())):
+                word = (half + nxt).lower()
+                k = next((j for j, (a, b) in enumerate(zip(word, right)) if a != b), len(word))
+                out.add((i if k < len(half) else i + 1, "misread"))
+        if bad:
+            for i, line in enumerate(low.split("\n")):
+                tokens = _TOKEN.findall(line)
+                if i - 1 in halves and tokens and tokens[0] in halves[i - 1][1].lower():  # halves are judged joined
+                    tokens = tokens[1:]
+                if i in halves and tokens and halves[i][0].lower().endswith(tokens[-1]):
+                    tokens = tokens[:-1]
+                if not bad.isdisjoint(tokens):
+                    out.add((i, "misread"))
+        return sorted(out)
 
     def paragraphs(self, text: str, drop: set[int], scanned: bool) -> str:
         """Continuous paragraphs: running lines dropped, cut words joined, misread words put right."""
@@ -357,8 +366,8 @@ def line_kinds(pages: DataFrame, v: dict[str, int]) -> DataFrame:
 def found(pages: DataFrame) -> DataFrame:
     """Distinct (doc_id, page, line_no, kind). Null, empty and unread pages have no lines; a page without others of its job has no running lines but its number."""
     running = furniture(pages)
-    kinds = line_kinds(pages, vocabulary(pages)).distinct()
-    body = kinds.join(running, ["doc_id", "page", "line_no"], "left_anti")
+    kinds = line_kinds(pages, vocabulary(pages))
+    body = kinds.join(running, ["doc_id", "page", "line_no"], "left_anti").distinct()  # partitioned for the join already
     return body.unionByName(running.withColumn("kind", F.lit("furniture")))
 
 
