@@ -141,14 +141,18 @@ def furniture(pages: DataFrame) -> DataFrame:
     lines = materialised(edges(pages))
     size = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
     least = F.greatest(F.lit(LEAST), F.ceil(F.col("_pages") * SHARE))
-    keys = lines.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("_n")).join(size, "doc_id").where((F.col("_n") >= least) & (F.length("key") > 2))
-    keys = keys.where((F.length("key") < LONG) | (F.col("_n") >= F.greatest(F.lit(LEAST + 1), F.ceil(F.col("_pages") * SHARE * 1.5))))  # long lines may be body
+    # keys are counted by their hash and length, so that their texts are moved only once, to the lines of their document
+    hashed = lines.groupBy("doc_id", F.xxhash64("key").alias("_h"), F.length("key").alias("_l")).agg(F.count_distinct("page").alias("_n")).join(size, "doc_id")
+    enough = F.when(F.col("_l") < LONG, least).otherwise(F.greatest(F.lit(LEAST + 1), F.ceil(F.col("_pages") * SHARE * 1.5)))  # long lines may be body
+    keys = hashed.where((F.col("_n") >= enough) & (F.col("_l") > 2))
     by_offset = lines.where(F.col("n1").isNotNull()).select("doc_id", "page", "template", F.explode(F.array_distinct(F.array_compact(F.array(F.col("n1") - F.col("page"), F.col("n2") - F.col("page"))))).alias("_o"))
     offsets = by_offset.groupBy("doc_id", "template", "_o").agg(F.count_distinct("page").alias("_n"))
     all_ = lines.where(F.col("n1").isNotNull()).groupBy("doc_id", "template").agg(F.count_distinct("page").alias("_t"))
     sequences = offsets.join(all_, ["doc_id", "template"]).join(size, "doc_id").where((F.col("_n") >= least) & (F.col("_n") >= 0.6 * F.col("_t")))
-    known = keys.groupBy("doc_id").agg(F.collect_set("key").alias("_keys")).join(sequences.groupBy("doc_id").agg(F.collect_set("template").alias("_templates")), "doc_id", "full")
-    joined = lines.join(known, "doc_id", "left")
+    known = keys.groupBy("doc_id").agg(F.collect_set("_h").alias("_hashes")).join(sequences.groupBy("doc_id").agg(F.collect_set("template").alias("_templates")), "doc_id", "full")
+    near = lines.join(known, "doc_id", "left")
+    texts = near.where(F.array_contains("_hashes", F.xxhash64("key"))).groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))  # few for each document
+    joined = near.join(texts, "doc_id", "left")
     close = lambda a, k: F.levenshtein(a, k) <= F.greatest(F.lit(1), F.floor(F.length(k) * 0.25))
     running = F.exists("_keys", lambda k: (F.abs(F.length("key") - F.length(k)) <= F.length(k) * 0.25 + 1) & close(F.col("key"), k))
     counted = F.exists("_templates", lambda k: (F.col("template") == k) | (F.length(k) > 3) & (F.levenshtein(F.col("template"), k) <= F.greatest(F.lit(1), F.floor(F.length(k) * 0.2)))) & (F.length("template") <= 40)
