@@ -69,6 +69,12 @@ def utf8_spans(codec: str) -> re.Pattern[str]:
     )
 
 
+@cache
+def leads(codec: str) -> frozenset[str]:
+    """Characters that may begin a multibyte sequence."""
+    return frozenset(c for c, b in to_byte(codec).items() if 0xC2 <= b <= 0xF4)
+
+
 #: Letters and marks that ordinary text of the languages at hand has; a span of only these may be no damage at all.
 ORDINARY = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĄąĆćĘęŁłŃńŚśŹźŻżŒœΆ-ώЁА-яё’‘“”„«»–—…\s]+")
 #: What a decoded span may consist of to be believed.
@@ -109,7 +115,10 @@ def _undo_utf8(line: str) -> tuple[str, int]:
     """The line with believable spans decoded, and how many these were; the table whose spans cover most counts."""
     best = (0, line, 0)
     beyond = sum(map(len, _RUN.findall(line)))
+    chars = set(line)
     for codec in READ_AS:
+        if leads(codec).isdisjoint(chars):
+            continue
         found = []
         sure = False
         for m in utf8_spans(codec).finditer(line):
