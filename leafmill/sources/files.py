@@ -38,7 +38,7 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") ->
 
 
 def split(found: DataFrame, make: Callable[[], Splitter]) -> DataFrame:
-    """One pending row for each page, numbered from 1. A file that cannot be read is one row without a page, whose error is its reason; an empty file is corrupt."""
+    """One pending row for each page, numbered from 1. A file that cannot be read is one row without a page, whose error is its reason; empty content is corrupt, though Spark lists no empty files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitter = make()

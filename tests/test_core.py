@@ -284,7 +284,7 @@ def test_files_to_pages(spark, tmp_path):
 
     (tmp_path / "a.pdf").write_text("one\ftwo")
     (tmp_path / "b b.PDF").write_bytes(b"%encrypt%")
-    (tmp_path / "c.pdf").write_bytes(b"")
+    (tmp_path / "c.pdf").write_bytes(b"\xff\xfe\xff")
     (tmp_path / "d.txt").write_text("not asked for")
     made = files.split(files.files(spark, str(tmp_path)), files.PlainSplitter)
     got = sorted((r["filename"], r["page"] or 0, r["status"]) for r in made.collect())
