@@ -251,6 +251,8 @@ def page_languages(df: DataFrame, keys: list[str], model: Model, text: str = "te
             scores = scorer.of(words)
             p = 1 / np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -700)).sum(axis=1)
             pairs = sorted({(i, j) for i, j, q in zip(at, scores.argmax(axis=1).tolist(), p, strict=True) if q >= sure})
+            if not pairs:
+                continue
             out = b[keys].iloc[[i for i, _ in pairs]].reset_index(drop=True)
             yield out.assign(lang=langs[[j for _, j in pairs]])
 

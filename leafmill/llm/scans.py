@@ -129,6 +129,8 @@ def edges(pages: DataFrame) -> DataFrame:
                     first.append(numbers[0] if numbers else None)
                     second.append(numbers[1] if len(numbers) > 1 else None)
                     strict.append(bool(numbers) and len(clean) <= 40 and bool(_PAGE.match(clean)))
+            if not at:
+                continue
             made = [pa.array(b["doc_id"].to_numpy()[at], pa.string()), pa.array(b["page"].to_numpy()[at].astype("int32")), pa.array(no, pa.int32()), pa.array(keys, pa.string()), pa.array(templates, pa.string()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(strict, pa.bool_())]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "page", "line_no", "key", "template", "n1", "n2", "strict"])
 
@@ -174,7 +176,8 @@ def vocabulary(pages: DataFrame) -> dict[str, int]:
             if len(c) > CACHE:
                 yield counted(c)
                 c = Counter()
-        yield counted(c)
+        if c:
+            yield counted(c)
 
     def counted(c: Counter[str]) -> pd.DataFrame:
         for w, n in [x for x in c.items() if "-" in x[0]]:
@@ -361,6 +364,8 @@ def line_kinds(pages: DataFrame, v: dict[str, int]) -> DataFrame:
         for b in batches:
             out = [reader.lines(t, s != "text") for s, t in zip(b["source"], b["text"], strict=True)]
             at = [k for k, x in enumerate(out) for _ in x]
+            if not at:
+                continue
             yield b[["doc_id", "page"]].iloc[at].assign(line_no=[i for x in out for i, _ in x], kind=[k for x in out for _, k in x])
 
     kept = page_counts(pages).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())

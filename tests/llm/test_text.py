@@ -173,3 +173,12 @@ def test_sentences_table(spark):
     got = sentences.ends(df, ["doc_id"], weights()).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in got} == {1: 6, 5: 2}
     assert sentences.found(df.limit(0)).count() == 0
+
+
+def test_null_keys_and_empty_batches(spark):
+    text = "The committee records the water levels in the lower basin."
+    rows = [("d", 1, "ocr", text, "done"), (None, 2, None, text, "done"), ("d", None, "ocr", text, "done"), ("d", 3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, page int, source string, text string, status string").repartition(6)
+    assert scans.found(df).count() == 0
+    assert {(r["doc_id"], r["page"]) for r in scans.clean_pages(df).collect()} == {("d", 1), (None, 2), ("d", None)}
+    assert mojibake.found_pages(df).count() == 0
