@@ -105,6 +105,34 @@ def test_names_by_entity(spark):
     assert names.found(df.limit(0)).count() == 0
 
 
+COMMON = [
+    ["Philippa Smith", "Pippa Smith", "Smith, Philippa", "P. Smith", "PHILIPPA SMITH", "Philippa Smiht", "Smith Philippa"],
+    ["Robert Smith", "Bob Smith", "Robbert Smith", "R. Smith"],
+    ["Smith Society of Geology", "Smith Soc. of Geology", "Society of Geology, Smith"],
+    ["Smith Society of Hydrology", "The Smith Society for Hydrology"],
+]
+
+
+def test_names_of_common_words(spark):
+    rows, of = [], {}
+    for d in range(6):  # each word is in every job, so that none is rare
+        for i, (e, n) in enumerate((e, n) for e, group in enumerate(COMMON) for n in group):
+            rows.append((100 * d + i, f"d{d}", 1, n, "OTHER", [1], 0))
+            of[100 * d + i] = (d, e)
+    rows += [(900, "d0", 1, "Xanthippe Smith", "OTHER", [1], 0), (901, "d0", 1, "X. Smith", "OTHER", [1], 0)]
+    of |= {900: (0, 9), 901: (0, 9)}  # a rare given name beside a common family
+    got = {tuple(r) for r in names.found(spark.createDataFrame(rows, NODE)).collect()}
+    assert got == {(a, b) for a in of for b in of if a < b and of[a] == of[b]}
+
+
+def test_many_given_names_of_one_family():
+    rng = random.Random(5)
+    given = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(60)]
+    members = [(i, f"{g.title()} Smith", "smith") for i, g in enumerate(given)] + [(100 + i, f"{g[1:].title()} Smith", "smith") for i, g in enumerate(given)]
+    members += [(200, "Philippa Smith", "smith"), (201, "Pippa Smith", "smith")]
+    assert sorted(names.Names(members).pairs()) == [(i, 100 + i) for i in range(60)] + [(200, 201)]
+
+
 def test_words_and_distances():
     assert names.words("Łukasz O. NELRA") == ["lukasz", "o", "nelra"] and names.words("RobertYarta") == ["robert", "yarta"]
     assert names.near("abcd", "abdc", 1) and names.near("abcd", "abd", 1) and not names.near("abcd", "badc", 1)
