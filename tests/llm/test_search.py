@@ -125,6 +125,13 @@ def test_names_of_common_words(spark):
     assert got == {(a, b) for a in of for b in of if a < b and of[a] == of[b]}
 
 
+def test_names_of_short_words(spark):
+    groups = [["Jane Lee", "J. Lee", "Lee, Jane", "JANE LEE"], ["Jane Lea"], ["Kim Ng", "Ng, Kim", "Kím Ng"], ["Ann Wu", "Wu, A."], ["Lee Bank of Tea", "Lee Bk. of Tea"], ["王小明", "王 小明"]]
+    rows = [(100 * d + 10 * e + i, f"d{d}", 1, n, "OTHER", [1], 0) for d in range(6) for e, g in enumerate(groups) for i, n in enumerate(g)]
+    got = {tuple(r) for r in names.found(spark.createDataFrame(rows, NODE)).collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[0] // 10 == b[0] // 10}
+
+
 def test_many_given_names_of_one_family():
     rng = random.Random(5)
     given = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(60)]
