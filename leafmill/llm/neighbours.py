@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -226,13 +226,22 @@ def rerank(vectors: DataFrame, groups: DataFrame, node: str, vec: str, k: int, f
     return rows.mapInArrow(judge, "node long, other long, cosine double")
 
 
+def has_direction(vec: str) -> Column:
+    """Whether a vector has a finite norm beyond zero; null for one with null values."""
+    norm = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return (norm > 0) & (norm < float("inf"))
+
+
 def surplus_copies(vectors: DataFrame, node: str, vec: str, k: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows to search, pairs of surplus copies with their answers or None where no vector has more than k + 1 copies)."""
+    """(rows to search, pairs of surplus copies with their answers or None where no vector has more than k + 1 copies).
+
+    Copies without a direction have no answers; as the search itself leaves them out, only they are tested here.
+    """
     hashed = vectors.select(node, vec, F.xxhash64(vec).alias("_h"))
     many = hashed.where(F.col(vec).isNotNull()).groupBy("_h").count().where(F.col("count") > k + 1).select("_h")
     if many.isEmpty():
         return vectors, None
-    copies = hashed.join(many, "_h", "left_semi").select("_h", F.col(node).alias("node")).distinct()
+    copies = hashed.join(many, "_h", "left_semi").where(has_direction(vec)).select("_h", F.col(node).alias("node")).distinct()
     first = copies.withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("node"))).where(F.col("_r") <= k + 1)
     heads = first.groupBy("_h").agg(F.slice(F.sort_array(F.collect_list("node")), 1, k).alias("_heads"), F.max("node").alias("_last"))
     rest = copies.join(heads, "_h").where(F.col("node") > F.col("_last"))
@@ -248,10 +257,12 @@ def most_similar(vectors: DataFrame, k: int = 5, floor: float = -1.0, node: str
     """
     usable = vectors.select(node, vec).where(F.col(node).isNotNull() & F.col(vec).isNotNull())
     sample = np.array([r[0] for r in bounded_sample(usable, [node], SAMPLE).select(vec).collect() if r[0] and None not in r[0]], dtype=object)
-    dims = len(sample[0]) if len(sample) else 0
+    dims = int(np.bincount([len(s) for s in sample]).argmax()) if len(sample) else 0
     sample = np.array([s for s in sample if len(s) == dims], dtype=np.float64).reshape(-1, max(dims, 1))
     norm = np.sqrt((sample**2).sum(axis=1)) if len(sample) else np.zeros(0)
-    sample = sample[norm > 0] / norm[norm > 0, None]
+    sound = np.isfinite(norm) & (norm > 0)
+    sample = sample[sound] / norm[sound, None]
+    usable = usable.where(F.size(vec) == dims)
     searched, answers = surplus_copies(usable, node, vec, k)
     pairs = candidate_pairs(index_rows(searched, learn(sample), node, vec), cap)
     groups = checkpoint(meeting_groups(pairs))

@@ -61,6 +61,14 @@ def test_copies_ties_nulls_repeats(spark):
     assert neighbours.found(df.where("node_id = 20")).count() == 0
 
 
+def test_many_vectors_without_direction(spark):
+    one = [1.0] + [0.0] * 63
+    odd = [[0.0] * 64, [float("nan")] * 64, [float("inf")] * 64, [None] + one[1:], [1.0, 2.0]]
+    rows = [(100 * e + i, v, 0) for e, v in enumerate(odd) for i in range(9)] + [(900 + i, one, 0) for i in range(20)]
+    got = {tuple(r) for r in neighbours.found(spark.createDataFrame(rows, VEC)).collect()}
+    assert got == {(900 + a, 900 + b) for a, b in brute(np.array([one] * 20), 5, 0.88)}
+
+
 def test_one_hot_cluster(spark):
     rng = np.random.default_rng(4)
     x = np.ones(64) + 0.02 * rng.normal(size=(120, 64))  # all in the same buckets
