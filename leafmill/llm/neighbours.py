@@ -25,10 +25,10 @@ from pyspark.sql.window import Window
 
 from leafmill.session import bounded_sample, checkpoint
 
-#: Tables and bits of each; two 64-bit words hold the code.
-TABLES, BITS = 10, 12
-#: Largest Hamming distance of a pair to be reranked: 3.3 standard deviations beyond what a cosine of 0.88 gives.
-RADIUS = 32
+#: Tables and bits of each; two 64-bit words hold the code. Of independent bits, two codes of cosine 0.88 meet with a probability of 0.96.
+TABLES, BITS = 13, 9
+#: Largest Hamming distance of a pair to be reranked: 3.2 standard deviations beyond what a cosine of 0.88 gives.
+RADIUS = 31
 #: Most vectors to learn the rotation from.
 SAMPLE = 8192
 #: Rows of a bucket or a group in one task at most.
@@ -74,8 +74,8 @@ def codes_of(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two words of code for each vector: half of the tables in each."""
     bits = ((x.astype(np.float32) @ w) > 0).astype(np.uint64)
     half = TABLES // 2 * BITS
-    weight = np.left_shift(np.uint64(1), np.arange(half, dtype=np.uint64))
-    return (bits[:, :half] * weight).sum(axis=1, dtype=np.uint64), (bits[:, half:] * weight[: bits.shape[1] - half]).sum(axis=1, dtype=np.uint64)
+    weight = np.left_shift(np.uint64(1), np.arange(bits.shape[1] - half, dtype=np.uint64))
+    return (bits[:, :half] * weight[:half]).sum(axis=1, dtype=np.uint64), (bits[:, half:] * weight).sum(axis=1, dtype=np.uint64)
 
 
 def substring(c0: np.ndarray, c1: np.ndarray, table: int) -> np.ndarray:

@@ -61,6 +61,24 @@ def test_copies_ties_nulls_repeats(spark):
     assert neighbours.found(df.where("node_id = 20")).count() == 0
 
 
+def at_cosines(cosines, dim=64, seed=3):
+    """Two vectors of each cosine, side by side."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(2, len(cosines), dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = np.array(cosines)[:, None]
+    return np.stack([a, c * a + np.sqrt(1 - c * c) * b], axis=1).reshape(-1, dim)
+
+
+def test_recall_near_the_floor(spark):
+    x = at_cosines(np.linspace(0.8805, 0.90, 800))
+    got = {tuple(r) for r in neighbours.found(frame(spark, x)).collect()}
+    want = {(2 * i, 2 * i + 1) for i in range(800)}
+    assert not got - want and len(got) >= 0.93 * len(want)
+
+
 def test_many_vectors_without_direction(spark):
     one = [1.0] + [0.0] * 63
     odd = [[0.0] * 64, [float("nan")] * 64, [float("inf")] * 64, [None] + one[1:], [1.0, 2.0]]
