@@ -91,7 +91,8 @@ WIDE_RUN = re.compile(f"[{HIGH}][{HIGH}@-~]*[{HIGH}](?:[@-~](?![A-Za-z]))?")
 #: A sign within a word that is a Polish or Czech letter in another table.
 SIGN_IN_WORD = re.compile(r"[a-z][³¹¿][a-z]|\b[a-z]+[³¹](?=[\s,.;:]|$)|[œ\u009c][a-z]?[æ³]|[A-Z]³[a-z]|(?<!\w)¿[a-z]{2,}(?![^?]*\?)")
 #: Upper and lower case the wrong way round, as between the two common Cyrillic tables.
-CASE_FLIP = re.compile(r"[а-я][А-Я]{3,}|[А-ЯЁ]{4,}[ ,.][А-ЯЁ]{4,}|[─-■][А-Яа-я─-■]{2}")
+CAPITALS = re.compile(r"[А-ЯЁ]{4,}[ ,.][А-ЯЁ]{4,}")
+CASE_FLIP = re.compile(rf"[а-я][А-Я]{{3,}}|{CAPITALS.pattern}|[─-■][А-Яа-я─-■]{{2}}")
 
 
 def mixed_scripts(text: str) -> bool:
@@ -273,7 +274,7 @@ def suspicious(text: str) -> bool:
             got = _SUSPECT[run] = bool(_pairs().search(run))
         if got:
             return True
-    return False
+    return bool(CAPITALS.search(text))  # spans words, so no run beyond ASCII holds it
 
 
 def restored_with_widths(text: str) -> tuple[str, list[int] | None]:

@@ -70,6 +70,12 @@ def disguised(rng, word):
     return word.replace("e", "е") + "zе"
 
 
+def test_capitals_of_another_table_in_every_word():
+    damaged = "дождливое большое число произвел".encode("koi8_r").decode("cp1251")
+    assert damaged.isupper() and mojibake.suspicious(damaged)
+    assert mojibake.restore(f"Plain line\n{damaged}") == ("Plain line\nдождливое большое число произвел", 1, True)
+
+
 def test_canonical():
     rng = random.Random(1)
     for _ in range(200):
