@@ -32,13 +32,23 @@ SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 #: Default-ignorable characters (from the Unicode property, without unassigned ones of the planes beyond).
 IGNORABLE = "\u00ad\u034f\u061cᅟᅠ\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206fㅤ\ufe00-\ufe0f\ufeffﾠ"
 ASTRAL_IGNORABLE = "\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
-MARKS = "\u0300-\u036f\u0483-\u0487\u3099\u309a"
+#: Marks, and the vowels and finals of Hangul, that may make one character with what is before them: the second parts of decompositions.
+MARKS = "\u0300-\u036f\u0483-\u0487" + "".join(
+    sorted({chr(int(d[1], 16)) for c in [*range(0x370, 0x3100), *range(0x11000, 0x11A00)] if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and d[0][0] != "<" and int(d[1], 16) > 0x487})
+) + "\u1161-\u1175\u11a8-\u11c2"
 #: Letters and digits with a compatibility form, by block.
 COMPAT = (
     "ªºĲĳŀĿſǄ-ǌǱ-ǳϐ-ϖϰ-ϵᴬ-ᵪⁱⁿ"
     "ₐ-ₜℂℊ-ℓℕℙ-ℝℤΩℨK-ℭℯ-ℱℳ-ℹⅅ-ⅉ"
     "Ⅰ-ⅿ①-⓿ﬀ-ﬆﬓ-ﬗ０-９Ａ-Ｚａ-ｚｦ-ﾟﾡ-ￜ"
 )
+#: Blocks of which each character counts whose compatibility form has a letter or digit: superscripts and subscripts, letterlike and enclosed
+#: ones, squared words and units, Hangul letters, ideographs and Arabic forms. Signs in ordinary use (fractions, trade mark, number sign) do not.
+BLOCKS = (
+    (0xB2, 0xB3), (0xB9, 0xB9), (0x2E0, 0x2E4), (0x2B0, 0x2B8), (0x1D2C, 0x1DBF), (0x2070, 0x209C), (0x2C7C, 0x2C7D), (0x2460, 0x24FF), (0x3131, 0x318E), (0x3192, 0x33FF), (0xA69C, 0xA69D), (0xA7F2, 0xA7F9),
+    (0xAB5C, 0xAB69), (0xF900, 0xFAD9), (0xFB00, 0xFDFB), (0xFE70, 0xFEFC), (0xFF10, 0xFFDC), (0x1EE00, 0x1EEBB), (0x1F100, 0x1F251), (0x1FBF0, 0x1FBF9), (0x2F800, 0x2FA1D),
+)
+COMPAT += "".join(chr(c) for a, b in BLOCKS for c in range(a, b + 1) if (n := unicodedata.normalize("NFKC", chr(c))) != chr(c) and any(x.isalnum() for x in n) and chr(c) not in "\u1160\u3164\uffa0")
 ASTRAL_COMPAT = "\U0001d400-\U0001d7ff"
 
 _SPACE = re.compile(f"[{SPACES}]")
@@ -146,7 +156,7 @@ def _counted(df: DataFrame, keys: list[str], texts: list[str], skip_damaged: boo
             return at_issue(t) and look_alikes(t) > 0 and not (skip_damaged and mojibake.restore(t)[1])
 
         for b in batches:
-            hit = [any(v is not None and case(v) for v in row) for row in zip(*[b[t] for t in texts], strict=True)]
+            hit = [any(row) for row in zip(*[per_distinct(b[t], case) for t in texts], strict=True)]
             yield b.loc[hit, keys]
 
     types = dict(df.dtypes)

@@ -90,6 +90,12 @@ def test_canonical():
     assert canonical.plain("thе") == "the" and canonical.plain("лecа") == "леса"
 
 
+def test_characters_beyond_latin_blocks():
+    for odd, right in (("m²", "m2"), ("H₂O", "H2O"), ("\ufedf\ufe8e", "\u0644\u0627"), ("\uf900", "\u8c48"), ("㈱", "(株)"), ("㎏", "kg"), ("\u1112\u1161\u11ab", "\ud55c"), ("\u0627\u0653", "\u0622")):
+        assert canonical.at_issue(odd) and canonical.look_alikes(odd) > 0 and canonical.plain(odd) == right, odd
+        assert canonical.look_alikes(right) == 0
+
+
 def test_canonical_found(spark):
     pages = spark.createDataFrame([("d", 1, "ocr", "a\u00a0b", "done"), ("d", 1, "ocr", "a\u00a0b", "done"), ("d", 2, "ocr", "Ã© a\u00a0b", "done"), ("d", 3, "ocr", None, "done"), ("d", 4, "ocr", "plain é", "done")], "doc_id string, page int, source string, text string, status string")
     triples = spark.createDataFrame([("d", 7, "thе", "p", None), ("d", 8, None, None, None), ("d", 9, "a", "b", "c")], "doc_id string, seq long, subject string, predicate string, object string")
