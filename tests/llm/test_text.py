@@ -194,3 +194,21 @@ def test_null_keys_and_empty_batches(spark):
     assert scans.found(df).count() == 0
     assert {(r["doc_id"], r["page"]) for r in scans.clean_pages(df).collect()} == {("d", 1), (None, 2), ("d", None)}
     assert mojibake.found_pages(df).count() == 0
+
+
+def test_whole_tables_are_registered(spark, tmp_path):
+    from leafmill.llm import queries
+
+    jobs = "job_id string, lang string"
+    tables = {
+        "page_results": spark.createDataFrame([("d", 1, "Ｗide text", "done"), ("d", 2, "plain", "done"), ("d", 3, "caf\u00c3\u00a9 here", "done")], "doc_id string, page int, text string, status string"),
+        "kg_triples": spark.createDataFrame([("d", 7, "Ａ", "is", None)] * 2, "doc_id string, seq long, subject string, predicate string, object string"),
+        "jobs": spark.createDataFrame([("d", "en")], jobs),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    made = queries.queries()
+    assert {"p1_stretches", "p2_restored", "p5_canonical"} <= made.keys()
+    assert [(r["page"], r["restored"]) for r in made["p2_restored"](spark, str(tmp_path)).collect()] == [(3, "café here")]
+    got = {(r["place"], r["num"], r["field"]): r["canonical"] for r in made["p5_canonical"](spark, str(tmp_path)).collect()}
+    assert got[("page", 1, "text")] == "wide text" and got[("triple", 7, "subject")] == "a" and got[("triple", 7, "object")] is None and len(got) == 6
