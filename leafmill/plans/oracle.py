@@ -127,10 +127,58 @@ fa AS (SELECT doc_id, node_id, list(seq ORDER BY seq) AS facts FROM (SELECT *, r
 pp AS (SELECT x.doc_id, x.node_id, list_sort(list(DISTINCT ed.page) FILTER (WHERE ed.page IS NOT NULL)) AS path_pages FROM (SELECT doc_id, node_id, unnest(chain) AS seq FROM top) x JOIN ed ON ed.doc_id = x.doc_id AND ed.seq = x.seq GROUP BY 1, 2)"""
 
 
+def _unquoted(x: str) -> str:
+    """A JSON value, or the one within a string that itself is JSON."""
+    one = lambda y: f"(CASE WHEN json_type({y}) = 'VARCHAR' AND regexp_matches({y}->>'$', '^\\s*[\\[{{\"]') AND json_valid({y}->>'$') THEN ({y}->>'$')::JSON ELSE {y} END)"
+    return one(x)
+
+
+def _items(x: str) -> str:
+    """Elements of a container as a list of (place, key, val): an array, an object keyed by number, or one bare element."""
+    return f"""(CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN []
+  WHEN json_type({x}) = 'ARRAY' THEN list_transform(json_extract({x}, '$[*]'), lambda el, nr: {{'place': nr, 'key': NULL::VARCHAR, 'val': el}})
+  WHEN json_type({x}) = 'OBJECT' AND len(json_keys({x})) > 0 AND len(list_filter(json_keys({x}), lambda ky: NOT regexp_full_match(ky, '\\s*[0-9]{{1,9}}\\s*'))) = 0
+    THEN list_transform(json_keys({x}), lambda ky, nr: {{'place': nr, 'key': ky, 'val': json_extract({x}, '$."' || ky || '"')}})
+  ELSE [{{'place': 1::BIGINT, 'key': NULL::VARCHAR, 'val': {x}}}] END)"""
+
+
+def _object(x: str) -> str:
+    return f"(CASE WHEN json_type({x}) = 'OBJECT' THEN {x} END)"
+
+
+def _int(x: str) -> str:
+    return f"TRY_CAST({x} AS BIGINT)"
+
+
+#: Jobs, pages, lines and alternatives of lines of the dumps.
+_DUMPS = f"""d0 AS (SELECT DISTINCT dump_id, body FROM job_dumps WHERE json_valid(body)),
+d1 AS (SELECT dump_id, body::JSON AS v, dump_id || CASE WHEN row_number() OVER w > 1 THEN '~' || row_number() OVER w ELSE '' END AS root FROM d0 WINDOW w AS (PARTITION BY dump_id ORDER BY body)),
+d2 AS (SELECT dump_id, root, unnest({_items('u')}) AS e FROM (SELECT *, {_unquoted('v')} AS u FROM d1)),
+j0 AS (SELECT dump_id, root AS parent_key, root || '/job:' || coalesce(trim(e.key), e.place::VARCHAR) AS job_key, coalesce({_int('e.key')}, e.place)::INT AS ordinal, {_unquoted('e.val')} AS o FROM d2),
+j AS (SELECT *, coalesce({_object("(o->'payload'->'job')")}, {_object("(o->'job')")}, o) AS v FROM j0 WHERE json_type(o) = 'OBJECT'),
+p0 AS (SELECT dump_id, job_key AS parent_key, unnest({_items('c')}) AS e FROM (SELECT *, {_unquoted("(v->'pages')")} AS c FROM j)),
+p1 AS (SELECT *, {_unquoted('e.val')} AS o FROM p0 WHERE json_type(e.val) <> 'NULL'),
+pg AS (SELECT *, parent_key || '/page:' || coalesce(trim(e.key), e.place::VARCHAR) AS page_key, coalesce({_object("(o->'result')")}, o) AS v,
+  coalesce({_int("(o->>'page')")}, {_int("(o->'result'->>'page')")}, {_int('e.key')}, e.place)::INT AS ordinal FROM p1),
+l0 AS (SELECT dump_id, ordinal AS page_no, page_key AS parent_key, CASE WHEN (v->'lines') IS NULL OR json_type((v->'lines')) = 'NULL'
+  THEN CASE WHEN json_type((v->'blocks')) = 'ARRAY' THEN to_json(flatten(list_transform(json_extract(v, '$.blocks[*]'), lambda b: CASE WHEN json_type((b->'lines')) = 'ARRAY' THEN json_extract(b, '$.lines[*]') ELSE [] END))) END
+  ELSE {_unquoted("(v->'lines')")} END AS c FROM pg WHERE json_type(v) = 'OBJECT'),
+l1 AS (SELECT dump_id, page_no, parent_key, unnest({_items('c')}) AS e FROM l0),
+ln AS (SELECT dump_id, page_no, parent_key, parent_key || '/line:' || coalesce(trim(e.key), e.place::VARCHAR) AS line_key, coalesce({_int('e.key')}, e.place)::INT AS ordinal, e.val AS v FROM l1 WHERE json_type(e.val) <> 'NULL'),
+al AS (SELECT dump_id, page_no, ordinal AS line_no, line_key AS parent_key, unnest({_items("(v->'alternatives')")}) AS e FROM ln WHERE json_type(v) = 'OBJECT')"""
+
+
 def oracle_sql() -> dict[str, str]:
     layer = "length(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]', '', 'g'))"
     safe = "regexp_replace(coalesce(@, ''), '[\\x{00}-\\x{08}\\x{0b}\\x{0c}\\x{0e}-\\x{1f}]', '', 'g')"
     return {
+        "p3_found": f"WITH {_DUMPS} SELECT DISTINCT dump_id, page_no, ordinal AS line_no FROM ln",
+        "p3_jobs": f"""WITH {_DUMPS} SELECT dump_id, job_key, parent_key, ordinal, (v->>'error') AS error, (v->>'filename') AS filename, (v->>'job_id') AS job_id, {_int("coalesce((v->'meta'->>'version'), (o->'meta'->>'version'))")} AS meta_version,
+{_int("(v->>'processed_pages')")} AS processed_pages, (v->>'status') AS status, {_int("(v->>'total_pages')")} AS total_pages FROM j""",
+        "p3_pages": f"""WITH {_DUMPS} SELECT dump_id, page_key, parent_key, ordinal, (v->>'confidence') AS confidence, (v->>'error') AS error, coalesce((o->>'page'), (v->>'page')) AS page, (v->>'source') AS source, (v->>'status') AS status, (v->>'text') AS text FROM pg""",
+        "p3_lines": f"""WITH {_DUMPS} SELECT dump_id, page_no, line_key, parent_key, ordinal, TRY_CAST(CASE WHEN json_type(v) = 'OBJECT' THEN (v->>'confidence') END AS DOUBLE) AS confidence, CASE WHEN json_type(v) = 'OBJECT' THEN (v->>'text') ELSE (v->>'$') END AS text FROM ln""",
+        "p3_alternatives": f"""WITH {_DUMPS} SELECT dump_id, page_no, line_no, parent_key || '/pages_lines_alternatives:' || coalesce(trim(e.key), e.place::VARCHAR) AS pages_lines_alternatives_key, parent_key, coalesce({_int('e.key')}, e.place)::INT AS ordinal,
+TRY_CAST((e.val->>'confidence') AS DOUBLE) AS confidence, (e.val->>'text') AS text FROM al WHERE json_type(e.val) <> 'NULL'""",
         "q_best_pages": f"WITH {PAGES} SELECT doc_id, page, source, text, status, error, confidence FROM p",
         "q_text_layer": f"WITH {PAGES} SELECT doc_id, page, {layer} AS letters, {layer} >= 50 AS has_text FROM p",
         "q_page_route": f"""WITH {PAGES}, j AS (SELECT job_id AS doc_id, bool_or(force_ocr) AS force_ocr, bool_or(online) AS online, bool_or(handwriting) AS handwriting FROM jobs GROUP BY 1),

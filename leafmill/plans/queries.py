@@ -34,15 +34,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.typed_tables(table(spark, folder, "job_dumps"))["job"]
+    return nested.flatten_dumps(table(spark, folder, "job_dumps"), ("job",))["job"]
 
 
 def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.typed_tables(table(spark, folder, "job_dumps"))["page"]
+    return nested.flatten_dumps(table(spark, folder, "job_dumps"), ("page",))["page"]
 
 
 def p3_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.typed_tables(table(spark, folder, "job_dumps"))["line"]
+    return nested.flatten_dumps(table(spark, folder, "job_dumps"), ("line",))["line"]
+
+
+def p3_alternatives(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.flatten_dumps(table(spark, folder, "job_dumps"), ("pages_lines_alternatives",))["pages_lines_alternatives"]
 
 
 def q_best_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,7 +241,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p3_found, p3_jobs, p3_pages, p3_lines, q_best_pages, q_text_layer, q_page_route, q_header_keys, q_strip_headers, q_strip_headers_low, q_line_confidence, q_page_labels, q_search,
+            p3_found, p3_jobs, p3_pages, p3_lines, p3_alternatives, q_best_pages, q_text_layer, q_page_route, q_header_keys, q_strip_headers, q_strip_headers_low, q_line_confidence, q_page_labels, q_search,
             q_export_txt, q_export_md, q_export_copy, q_export_json, q_outline, q_realign, q_reading_order, q_reading_order_handwriting, q_settings_scores, q_settings_choice, q_sampled_pages, q_born_digital,
             q_graph_nodes, q_graph_edges, q_graph_texts, q_graph_json, q_graph_strongest, q_graph_summary, q_graph_search, q_graph_search_support, q_vector_seeds,
             q_job_state, q_job_pages, q_job_frames, q_jobs_evicted, q_payload_triples, q_filenames,

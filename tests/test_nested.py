@@ -111,7 +111,7 @@ def test_repeated_rows_and_long_body(spark):
 
 def test_merged_schema_and_keys(spark):
     bodies = [json.dumps({"job_id": "a", "total": 3, "pages": [{"page": "1", "ok": True, "lines": [{"text": "t", "confidence": 1}, {"text": "u", "confidence": 0.5}]}]}), json.dumps({"job_id": "b", "total": 2.5, "pages": [{"page": 2}]})]
-    made = nested.typed_tables(rows(spark, bodies))
+    made = nested.flatten_dumps(rows(spark, bodies))
     types = dict(made["job"].dtypes)
     assert types["job_id"] == "string" and types["total"] == "double"
     assert dict(made["page"].dtypes)["page"] == "string" and dict(made["line"].dtypes)["confidence"] == "double"
@@ -119,9 +119,36 @@ def test_merged_schema_and_keys(spark):
     pages = {r["page_key"]: r["parent_key"] for r in made["page"].collect()}
     assert set(pages.values()) <= jobs
     assert {r["parent_key"] for r in made["line"].collect()} <= set(pages)
-    with pytest.raises(ValueError):
-        nested.merged_schema(made_rows(spark), max_fields=2)
 
 
-def made_rows(spark):
-    return spark.sql("SELECT parse_json('{\"a\":1,\"b\":2,\"c\":3}') AS value")
+def test_every_array_is_a_table_and_keys_are_unique(spark):
+    page = {"page": 1, "lines": [{"text": "a", "alternatives": ["x", {"text": "y"}], "box": [[1, 2], [3, 4]]}, "plain [1]"], "blocks": [{"type": 1}]}
+    bodies = [json.dumps({"payload": {"job": {"job_id": "j", "pages": [page]}}, "meta": {"tags": ["p", "q"], "version": 2}}), json.dumps({"job_id": "k", "graph": {"nodes": [{"name": "n", "pages": [1, 2]}]}, "pages": [page, page]})]
+    df = spark.createDataFrame([(i % 2, b) for i, b in enumerate([*bodies, *bodies, bodies[0].replace("plain", "other")])], "dump_id long, body string")
+    made = {n: t.collect() for n, t in nested.flatten_dumps(df).items()}
+    assert {n: len(r) for n, r in made.items()} == {"job": 3, "page": 4, "line": 8, "pages_lines_alternatives": 8, "pages_lines_box": 8, "pages_lines_box_item": 16, "pages_blocks": 4, "meta_tags": 4, "graph_nodes": 1, "graph_nodes_pages": 2}
+    for n, r in made.items():
+        keys = [x[f"{n}_key"] for x in r]
+        assert len(keys) == len(set(keys))
+    of = {"page": "job", "line": "page", "pages_lines_alternatives": "line", "pages_lines_box_item": "pages_lines_box", "graph_nodes_pages": "graph_nodes", "meta_tags": "job"}
+    for child, parent in of.items():
+        assert {x["parent_key"] for x in made[child]} <= {x[f"{parent}_key"] for x in made[parent]}
+    assert {x["meta_version"] for x in made["job"]} == {2, None} and {x["text"] for x in made["line"]} == {"a", "plain [1]", "other [1]"}
+    assert sorted(x["value"] for x in made["pages_lines_box_item"] if x["parent_key"].startswith("1/")) == [1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_maps_clashing_names_and_broken_texts(spark, monkeypatch):
+    wide = {f"k{i}": {"n": i} for i in range(nested.MAX_FIELDS + 5)}
+    bodies = ['{"a": "\\ud800x", "job_key": 1, "Dump_Id": 2, "ordinal": 3, "a b`c": 4}', json.dumps({"wide": wide}), '{"a": NaN}', "[" * 100_000, '{"big": 99999999999999999999}']
+    made = nested.flatten_dumps(rows(spark, bodies))
+    entries = made["wide"].collect()
+    assert len(entries) == len(wide) and {(r["entry"], r["n"]) for r in entries} == {(k, v["n"]) for k, v in wide.items()}
+    job = {r["dump_id"]: r for r in made["job"].collect()}
+    assert sorted(job) == [1, 2, 5] and job[1]["a"] == "\ufffdx" and job[1]["_job_key"] == 1 and job[1]["_Dump_Id"] == 2 and job[1]["_ordinal"] == 3 and job[1]["a b`c"] == 4
+    assert job[5]["big"] == "99999999999999999999"
+
+
+def test_null_ids_and_other_columns(spark):
+    df = spark.createDataFrame([(None, '{"pages": [1]}', 1), (None, '{"pages": [2, 3]}', 2)], "dump_id long, body string, _root int")
+    got = nested.flatten_dumps(df)["page"].collect()
+    assert len({r["page_key"] for r in got}) == 3 and {r["value"] for r in got} == {1, 2, 3}
