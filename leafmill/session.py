@@ -55,11 +55,11 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_sample(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """At most `size` rows, picked by a hash of their keys. Rows are first thinned by the count, so that what each task hands on is bounded as well."""
+def bounded_sample(df: DataFrame, keys: list[str], size: int, rows: int | None = None) -> DataFrame:
+    """At most `size` rows, picked by a hash of their keys. Rows are first thinned by their number (counted if not given), so that what each task hands on is bounded as well."""
     from pyspark.sql import functions as F
 
     h = F.xxhash64(*keys)
-    share = min(1.0, 1.5 * size / max(df.count(), 1))
+    share = min(1.0, 1.5 * size / max(df.count() if rows is None else rows, 1))
     thin = df.withColumn("_h", h).where(F.pmod("_h", F.lit(1_000_000)) < F.lit(max(1, int(share * 1_000_000))))
     return thin.orderBy("_h", *keys).limit(size).drop("_h")
