@@ -2,20 +2,24 @@
 
 1. Rotated binary codes are learned from a bounded sample (iterative quantisation: the rotation that brings the sample nearest to
    the corners of a cube; further independent rotations give further bits).
-2. Each code is cut into substrings and each substring indexed: a vector gives one row of code and id for each table.
-   By the pigeonhole principle, codes that differ in fewer bits than there are tables agree in some substring; of codes further apart a share
-   does, which grows with their likeness. Rows of one bucket meet in one task, are compared by Hamming distance over the whole code, and a
-   pair goes out only from the first table in which it meets, so once.
-3. Floats are brought together once: every pair is judged in the group of the least partner of its smaller member, to which
+2. Each code is cut into substrings and each substring indexed. The bits of a substring follow the number of vectors, so that a bucket holds
+   about FILL of them at any size; the number of substrings is measured on the sample, so that vectors of cosine `aim` meet with probability GOAL.
+3. Each vector is in the bucket of each of its substrings and probes one more: the one with its least certain bit flipped. By the pigeonhole
+   principle, codes that differ in fewer bits than there are substrings always meet; others meet the likelier the nearer they are. What meets is compared
+   by Hamming distance over 64 bits, and pairs within the radius go out from the first substring that agrees.
+4. Floats are brought together once: every pair is judged in the group of the least partner of its smaller member, to which
    both vectors are sent. Mutual neighbours share that group, so that a vector is sent about once. There cosines are exact.
 
-Skew: copies of one vector beyond the first k + 1 take no part in the search, since their answer is known (the first copies, in the
-order of ids). Buckets and groups above a cap are cut into blocks, and each pair of blocks is a task of its own, so that no pair is lost.
+Entries of many vectors travel together, as packed rows. Skew: copies of one vector beyond the first k + 1 take no part in the search, since
+their answer is known (the first copies, in the order of ids). Buckets and groups above a cap are cut into blocks, and each pair of blocks is
+a unit of its own, so that no pair is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +27,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.session import bounded_sample, checkpoint
+from leafmill.session import bounded_sample, checkpoint, materialised
 
-#: Tables and bits of each; two 64-bit words hold the code. Of independent bits, two codes of cosine 0.88 meet with a probability of 0.96.
-TABLES, BITS = 13, 9
-#: Largest Hamming distance of a pair to be reranked: 3.2 standard deviations beyond what a cosine of 0.88 gives.
-RADIUS = 31
+#: Vectors in a bucket on average, and least and most bits of a substring.
+FILL, LEAST_BITS, MOST_BITS = 512, 8, 28
+#: Similarity at which the index is to find pairs, and the share of them that it is to find.
+AIM, GOAL = 0.88, 0.96
+#: Bits compared, and the standard deviations beyond the expected distance at `aim` up to which pairs are reranked.
+WORD, SPREAD = 64, 3.2
 #: Most vectors to learn the rotation from.
 SAMPLE = 8192
-#: Rows of a bucket or a group in one task at most.
-CAP = 4096
-#: Partitions per shuffle partition setting are left to Spark; blocks of rows compared at once.
-BLOCK = 512
-MASK = np.uint64((1 << BITS) - 1)
+#: Rows of a bucket or a group in one unit at most; hot buckets that the driver may know of.
+CAP, HOT = 4096, 200_000
+#: Vectors compared at once; vectors packed together; least bits of the key that packed rows are sent by.
+BLOCK, GATHER, KEY_BITS = 512, 100_000, 9
 
 
-def learn(sample: np.ndarray, bits: int = TABLES * BITS, rounds: int = 20, seed: int = 7) -> np.ndarray:
+class Index(NamedTuple):
+    """w: matrix whose signs are the code; bits of each substring, number of substrings; largest distance; bits within a packed row."""
+
+    w: np.ndarray
+    bits: int
+    tables: int
+    radius: int
+    low: int
+
+
+def learn(sample: np.ndarray, bits: int, rounds: int = 20, seed: int = 7) -> np.ndarray:
     """Matrix (dimensions x bits) whose signs are the code."""
     dim = sample.shape[1]
     rng = np.random.default_rng(seed)
@@ -55,6 +70,33 @@ def learn(sample: np.ndarray, bits: int = TABLES * BITS, rounds: int = 20, seed:
     return np.concatenate(made, axis=1).astype(np.float32)
 
 
+def meeting_share(w: np.ndarray, bits: int, aim: float, seed: int = 11) -> float:
+    """Share of random pairs of cosine `aim` that meet in one substring, each probing its least certain bit; measured on the learned rotation."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(2, 8192, w.shape[0]))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = aim * a + math.sqrt(1 - aim * aim) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+    met = []
+    for t in range(max(1, w.shape[1] // bits)):
+        p, q = (x @ w[:, t * bits : (t + 1) * bits] for x in (a, b))
+        differ = (p > 0) != (q > 0)
+        n = differ.sum(axis=1)
+        at = np.arange(len(n))
+        met.append(((n == 0) | (n == 1) & (differ[at, np.abs(p).argmin(axis=1)] | differ[at, np.abs(q).argmin(axis=1)])).mean())
+    return float(np.mean(met))
+
+
+def planned(sample: np.ndarray, rows: int, aim: float = AIM, bits: int | None = None) -> Index:
+    """The index for `rows` vectors, learned from a sample of them."""
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(rows, 1) / FILL))))
+    share = min(0.999, max(1e-4, meeting_share(learn(sample, 2 * bits), bits, aim)))
+    tables = max(2, math.ceil(math.log(1 - GOAL) / math.log(1 - share)))
+    p = math.acos(aim) / math.pi
+    radius = round(WORD * p + SPREAD * math.sqrt(WORD * p * (1 - p)))
+    return Index(learn(sample, max(WORD, bits * tables)), bits, tables, radius, max(0, bits - max(KEY_BITS, bits - 6)))
+
+
 def unit_rows(batch: pa.RecordBatch, node: str, vec: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, unit vectors) of usable rows: neither null, nor of another length, nor with null, infinite or all-zero values."""
     col, ids = batch.column(batch.schema.get_field_index(vec)), batch.column(batch.schema.get_field_index(node))
@@ -70,38 +112,163 @@ def unit_rows(batch: pa.RecordBatch, node: str, vec: str) -> tuple[np.ndarray, n
     return ids.filter(pa.array(ok)).to_numpy(zero_copy_only=False).astype(np.int64)[good], x[good] / norm[good, None]
 
 
-def codes_of(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two words of code for each vector: half of the tables in each."""
-    bits = ((x.astype(np.float32) @ w) > 0).astype(np.uint64)
-    half = TABLES // 2 * BITS
-    weight = np.left_shift(np.uint64(1), np.arange(bits.shape[1] - half, dtype=np.uint64))
-    return (bits[:, :half] * weight[:half]).sum(axis=1, dtype=np.uint64), (bits[:, half:] * weight).sum(axis=1, dtype=np.uint64)
-
+def codes_of(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first 64 bits of each code, bucket of each substring, bucket to probe for each substring): buckets are (tables x vectors)."""
+    project = x.astype(np.float32) @ index.w
+    bits = project > 0
+    word = np.packbits(bits[:, :WORD], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    weight = 1 << np.arange(index.bits)
+    own, probed = np.empty((2, index.tables, len(x)), dtype=np.int64)
+    for t in range(index.tables):
+        part = slice(t * index.bits, (t + 1) * index.bits)
+        own[t] = bits[:, part] @ weight
+        probed[t] = own[t] ^ weight[np.abs(project[:, part]).argmin(axis=1)]
+    return word, own, probed
 
-def substring(c0: np.ndarray, c1: np.ndarray, table: int) -> np.ndarray:
-    word, at = (c0, table) if table < TABLES // 2 else (c1, table - TABLES // 2)
-    return (word >> np.uint64(at * BITS)) & MASK
 
+def bucket_sizes(vectors: DataFrame, index: Index, node: str, vec: str) -> DataFrame:
+    """(bucket, n): how many vectors are in each bucket or probe it, counted within each batch before the shuffle."""
+    sent = vectors.sparkSession.sparkContext.broadcast(index)
 
-def _table(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_batches(list(batches), schema)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, x = unit_rows(b, node, vec)
+            if not len(ids) or x.shape[1] != sent.value.w.shape[0]:
+                continue
+            _, own, probed = codes_of(x, sent.value)
+            at = (np.arange(sent.value.tables) << sent.value.bits)[:, None]
+            bucket, n = np.unique(np.concatenate([own + at, probed + at]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], names=["bucket", "n"])
+
+    return vectors.select(node, vec).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+PACKED = "part long, i int, j int, ids binary, words binary, lows binary"
+
+
+def index_rows(vectors: DataFrame, index: Index, hot: dict[int, int], node: str, vec: str) -> DataFrame:
+    """Packed rows (part, i, j, ids, words, lows): the entries of many vectors in the buckets of one key. `hot` are buckets to be cut into so many
+    blocks: each pair of blocks (i, j) is a unit of its own. lows: bucket within the key, whether of block j, whether only probing."""
+    sent = vectors.sparkSession.sparkContext.broadcast((index, hot))
+
+    def packed(t: int, ids: np.ndarray, words: np.ndarray, own: np.ndarray, probed: np.ndarray) -> Iterator[tuple]:
+        ix, hot_ = sent.value
+        bucket = np.concatenate([own, probed])
+        at = np.concatenate([np.arange(len(ids))] * 2)
+        probe = np.arange(len(bucket)) >= len(ids)
+        if hot_:
+            full = bucket + (t << ix.bits)
+            here = np.isin(full, np.fromiter(hot_, np.int64, len(hot_)))
+            for b in np.unique(full[here]):
+                rows = np.flatnonzero(full == b)
+                n = hot_[int(b)]
+                block = ((ids[at[rows]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+                for o in range(n):
+                    for own_ in np.unique(block):
+                        i, j = min(o, int(own_)), max(o, int(own_))
+                        k = rows[block == own_]
+                        flags = (int(b) & ((1 << ix.low) - 1)) << 2 | (int(i != j and own_ == j) << 1)
+                        yield (int(b) >> ix.low) << 1 | 1, i, j, ids[at[k]], words[at[k]], (flags | probe[k]).astype(np.uint16)
+            bucket, at, probe = bucket[~here], at[~here], probe[~here]
+        order = np.argsort(bucket, kind="stable")
+        bucket, at, probe = bucket[order], at[order], probe[order]
+        key = bucket >> ix.low
+        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+        lows = ((bucket & ((1 << ix.low) - 1)) << 2 | probe).astype(np.uint16)
+        for s, e in zip([0, *cut], [*cut, len(key)], strict=True):
+            if e > s:
+                yield (int(key[s]) + (t << ix.bits - ix.low)) << 1, 0, 0, ids[at[s:e]], words[at[s:e]], lows[s:e]
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = sent.value[0]
+        held: list[tuple] = []
 
-def index_rows(vectors: DataFrame, w: np.ndarray, node: str, vec: str) -> DataFrame:
-    """Rows (bucket, node, c0, c1): each vector once for each table."""
-    sent = vectors.sparkSession.sparkContext.broadcast(w)
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids, words = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            for t in range(ix.tables):
+                rows = list(packed(t, ids, words, np.concatenate([h[2][t] for h in held]), np.concatenate([h[3][t] for h in held])))
+                part, i, j, a, w, low = zip(*rows, strict=True)
+                raw = [pa.array([np.diff(x, prepend=0).tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in w], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), *raw], names=["part", "i", "j", "ids", "words", "lows"])
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, x = unit_rows(b, node, vec)
-            if not len(ids) or x.shape[1] != sent.value.shape[0]:
+            if not len(ids) or x.shape[1] != ix.w.shape[0]:
                 continue
-            c0, c1 = codes_of(x, sent.value)
-            keys = np.concatenate([t * (1 << BITS) + substring(c0, c1, t).astype(np.int64) for t in range(TABLES)]).astype(np.int32)
-            columns = [keys, np.tile(ids, TABLES), np.tile(c0.view(np.int64), TABLES), np.tile(c1.view(np.int64), TABLES)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "node", "c0", "c1"])
+            held.append((ids, *codes_of(x, ix)))
+            if sum(len(h[0]) for h in held) >= GATHER:
+                yield from flush()
+                held.clear()
+        if held:
+            yield from flush()
 
-    return vectors.select(node, vec).mapInArrow(make, "bucket int, node long, c0 long, c1 long")
+    return vectors.select(node, vec).mapInArrow(make, PACKED)
+
+
+def candidate_pairs(packed: DataFrame, index: Index) -> DataFrame:
+    """Pairs a < b of different ids whose codes meet in a bucket and differ in at most `radius` of 64 bits. A pair whose code agrees in an earlier
+    substring is left out; it may still come from several buckets."""
+    rows = packed.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
+    bits, tables, radius, low = index.bits, index.tables, index.radius, index.low
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key, held = None, []
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[:3] != key:
+                    if held:
+                        yield key, held
+                    key, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield key, held
+
+    def near(words: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray, ordered: bool, table: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for s in range(0, len(p), BLOCK):
+            a = p[s : s + BLOCK]
+            x = words[a, None] ^ words[None, q]
+            hit = np.bitwise_count(x) <= radius
+            hit &= ids[a, None] < ids[None, q] if ordered else ids[a, None] != ids[None, q]
+            i, j = np.nonzero(hit)
+            if not len(i):
+                continue
+            d = x[i, j]
+            first = np.ones(len(i), dtype=bool)
+            for earlier in range(min(table, WORD // bits)):
+                first &= (d >> np.uint64(earlier * bits)) & np.uint64((1 << bits) - 1) != 0
+            yield ids[a[i[first]]], ids[q[j[first]]]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for (part, gi, gj), rows_ in units(batches):
+            ids = np.concatenate([np.cumsum(np.frombuffer(r[0], np.int64)) for r in rows_])
+            words = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows_])
+            lows = np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows_])
+            table = (part >> 1) >> (bits - low)
+            order = np.argsort(lows >> 2, kind="stable")
+            bucket = (lows >> 2)[order]
+            cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            for s, e in zip([0, *cut], [*cut, len(order)], strict=True):
+                at = order[s:e]
+                probe, second = (lows[at] & 1).astype(bool), (lows[at] & 2).astype(bool)
+                if gi == gj:
+                    in_, by = at[~probe], at[probe]
+                    jobs = [(in_, in_, True), (by, in_, False)]
+                else:
+                    jobs = [(at[~probe & ~second], at[~probe & second], False), (at[probe & ~second], at[~probe & second], False), (at[probe & second], at[~probe & ~second], False)]
+                for p, q, ordered in jobs:
+                    if len(p) and len(q):
+                        for a, b in near(words, ids, p, q, ordered, table):
+                            out.append((np.minimum(a, b), np.maximum(a, b)))
+                            held += len(a)
+            if held > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+                out, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return rows.mapInArrow(pair, "a long, b long")
 
 
 def in_blocks(rows: DataFrame, key: str, by: str, cap: int) -> DataFrame:
@@ -130,49 +297,6 @@ def _units(t: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]])
 
 
-def candidate_pairs(index: DataFrame, cap: int = CAP, radius: int = RADIUS) -> DataFrame:
-    """Pairs a < b of different ids whose codes meet in a bucket and differ in at most `radius` bits, each pair once (repeated rows repeat it)."""
-    rows = in_blocks(index, "bucket", "node", cap)
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        order, begin, end = _units(t, "bucket")
-        key, node, own, gi, gj = (t.column(c).to_numpy()[order] for c in ("bucket", "node", "_own", "_i", "_j"))
-        c0, c1 = (t.column(c).to_numpy()[order].view(np.uint64) for c in ("c0", "c1"))
-        out_a, out_b, held = [], [], 0
-        for x, y in zip(begin, end, strict=True):
-            if y - x < 2:
-                continue
-            table = int(key[x]) >> BITS
-            for s in range(x, y, BLOCK):
-                e = min(s + BLOCK, y)
-                d = np.bitwise_count(c0[s:e, None] ^ c0[None, x:y]) + np.bitwise_count(c1[s:e, None] ^ c1[None, x:y])
-                near = (d <= radius) & (node[s:e, None] < node[None, x:y])
-                if gi[x] != gj[x]:
-                    near &= own[s:e, None] != own[None, x:y]
-                p, q = np.nonzero(near)
-                if not len(p):
-                    continue
-                p, q = p + s, q + x
-                d0, d1 = c0[p] ^ c0[q], c1[p] ^ c1[q]
-                first = np.ones(len(p), dtype=bool)
-                for earlier in range(table):
-                    first &= substring(d0, d1, earlier) != 0
-                out_a.append(node[p[first]])
-                out_b.append(node[q[first]])
-                held += len(out_a[-1])
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-                    out_a, out_b, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    return rows.mapInArrow(pair, "a long, b long")
-
-
 def meeting_groups(pairs: DataFrame) -> DataFrame:
     """Distinct (node, g): the groups in which a node's pairs are judged. Of a pair, this is the least partner of its smaller member."""
     directed = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("p")), F.struct(F.col("b").alias("n"), F.col("a").alias("p")))).alias("e")).select("e.*")
@@ -235,28 +359,31 @@ def has_direction(vec: str) -> Column:
 def surplus_copies(vectors: DataFrame, node: str, vec: str, k: int) -> tuple[DataFrame, DataFrame | None]:
     """(rows to search, pairs of surplus copies with their answers or None where no vector has more than k + 1 copies).
 
-    Copies without a direction have no answers; as the search itself leaves them out, only they are tested here.
+    Copies without a direction have no answers; as the search itself leaves them out, only they are tested here. The table of vectors with many
+    copies is written first, so that its size is known when it is joined.
     """
     hashed = vectors.select(node, vec, F.xxhash64(vec).alias("_h"))
-    many = hashed.where(F.col(vec).isNotNull()).groupBy("_h").count().where(F.col("count") > k + 1).select("_h")
+    many = materialised(hashed.groupBy("_h").count().where(F.col("count") > k + 1).select("_h"))
     if many.isEmpty():
         return vectors, None
     copies = hashed.join(many, "_h", "left_semi").where(has_direction(vec)).select("_h", F.col(node).alias("node")).distinct()
     first = copies.withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("node"))).where(F.col("_r") <= k + 1)
-    heads = first.groupBy("_h").agg(F.slice(F.sort_array(F.collect_list("node")), 1, k).alias("_heads"), F.max("node").alias("_last"))
-    rest = copies.join(heads, "_h").where(F.col("node") > F.col("_last"))
-    answers = rest.select("node", F.explode("_heads").alias("other"), F.lit(1.0).alias("cosine"))
-    return vectors.join(rest.select(F.col("node").alias(node)), node, "left_anti"), answers
+    heads = materialised(first.groupBy("_h").agg(F.slice(F.sort_array(F.collect_list("node")), 1, k).alias("_heads"), F.max("node").alias("_last")))
+    answers = copies.join(heads, "_h").where(F.col("node") > F.col("_last")).select("node", F.explode("_heads").alias("other"), F.lit(1.0).alias("cosine"))
+    searched = hashed.join(heads.select("_h", "_last"), "_h", "left").where(F.col("_last").isNull() | (F.col(node) <= F.col("_last"))).select(node, vec)
+    return searched, answers
 
 
-def most_similar(vectors: DataFrame, k: int = 5, floor: float = -1.0, node: str = "node_id", vec: str = "vec", cap: int = CAP) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 5, floor: float = -1.0, node: str = "node_id", vec: str = "vec", cap: int = CAP, aim: float = AIM) -> DataFrame:
     """(node, other, cosine): the k most similar vectors of each, as far as they are found and of at least `floor`.
 
+    Pairs of cosine `aim` are found with a probability of GOAL, nearer ones with a higher one, others with a lower one.
     Null, all-zero and non-finite vectors take no part; rows repeated under one id count once; vectors must be of one length.
     Copies of one vector beyond k + 1 answer with the first k copies and are no answer to others. An empty table gives no rows.
     """
     usable = vectors.select(node, vec).where(F.col(node).isNotNull() & F.col(vec).isNotNull())
-    sample = np.array([r[0] for r in bounded_sample(usable, [node], SAMPLE).select(vec).collect() if r[0] and None not in r[0]], dtype=object)
+    rows = usable.count()
+    sample = np.array([r[0] for r in bounded_sample(usable, [node], SAMPLE, rows).select(vec).collect() if r[0] and None not in r[0]], dtype=object)
     dims = int(np.bincount([len(s) for s in sample]).argmax()) if len(sample) else 0
     sample = np.array([s for s in sample if len(s) == dims], dtype=np.float64).reshape(-1, max(dims, 1))
     norm = np.sqrt((sample**2).sum(axis=1)) if len(sample) else np.zeros(0)
@@ -264,10 +391,17 @@ def most_similar(vectors: DataFrame, k: int = 5, floor: float = -1.0, node: str
     sample = sample[sound] / norm[sound, None]
     usable = usable.where(F.size(vec) == dims)
     searched, answers = surplus_copies(usable, node, vec, k)
-    pairs = candidate_pairs(index_rows(searched, learn(sample), node, vec), cap)
-    groups = checkpoint(meeting_groups(pairs))
+    index = planned(sample, rows, aim)
+    while True:
+        hot = materialised(bucket_sizes(searched, index, node, vec).where(F.col("n") > 2 * cap))
+        if index.bits >= MOST_BITS or hot.count() <= HOT:  # more bits until few buckets are hot
+            break
+        index = planned(sample, rows, aim, index.bits + 1)
+    blocks = {r["bucket"]: math.ceil(r["n"] / cap) for r in hot.collect()}
+    groups = checkpoint(meeting_groups(candidate_pairs(index_rows(searched, index, blocks, node, vec), index)))
     ranked = rerank(searched, groups, node, vec, k, floor, cap)
-    best = ranked.dropDuplicates(["node", "other"]).withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("cosine"), "other"))).where(F.col("_r") <= k).drop("_r")
+    place = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("cosine"), "other"))  # equal for what comes twice
+    best = ranked.withColumn("_r", place).where(F.col("_r") <= k).dropDuplicates(["node", "other"]).drop("_r")
     return best if answers is None else best.unionByName(answers)
 
 
