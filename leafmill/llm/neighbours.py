@@ -6,7 +6,7 @@
    about FILL of them at any size; the number of substrings is measured on the sample, so that vectors of cosine `aim` meet with probability GOAL.
 3. Each vector is in the bucket of each of its substrings and probes one more: the one with its least certain bit flipped. By the pigeonhole
    principle, codes that differ in fewer bits than there are substrings always meet; others meet the likelier the nearer they are. What meets is compared
-   by Hamming distance over 64 bits, and pairs within the radius go out from the first substring that agrees.
+   by Hamming distance over 128 bits, and pairs within the radius go out from the first substring that agrees.
 4. Floats are brought together once: every pair is judged in the group of the least partner of its smaller member, to which
    both vectors are sent. Mutual neighbours share that group, so that a vector is sent about once. There cosines are exact.
 
@@ -34,7 +34,7 @@ FILL, LEAST_BITS, MOST_BITS = 512, 8, 28
 #: Similarity at which the index is to find pairs, and the share of them that it is to find.
 AIM, GOAL = 0.88, 0.96
 #: Bits compared, and the standard deviations beyond the expected distance at `aim` up to which pairs are reranked.
-WORD, SPREAD = 64, 3.2
+WORD, SPREAD = 128, 3.2
 #: Most vectors to learn the rotation from.
 SAMPLE = 8192
 #: Rows of a bucket or a group in one unit at most; hot buckets that the driver may know of.
@@ -113,10 +113,10 @@ def unit_rows(batch: pa.RecordBatch, node: str, vec: str) -> tuple[np.ndarray, n
 
 
 def codes_of(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first 64 bits of each code, bucket of each substring, bucket to probe for each substring): buckets are (tables x vectors)."""
+    """(first 128 bits of each code as two words, bucket of each substring, bucket to probe for each substring): buckets are (tables x vectors)."""
     project = x.astype(np.float32) @ index.w
     bits = project > 0
-    word = np.packbits(bits[:, :WORD], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    word = np.packbits(bits[:, :WORD], axis=1, bitorder="little").view(np.uint64)
     weight = 1 << np.arange(index.bits)
     own, probed = np.empty((2, index.tables, len(x)), dtype=np.int64)
     for t in range(index.tables):
@@ -206,7 +206,7 @@ def index_rows(vectors: DataFrame, index: Index, hot: dict[int, int], node: str,
 
 
 def candidate_pairs(packed: DataFrame, index: Index) -> DataFrame:
-    """Pairs a < b of different ids whose codes meet in a bucket and differ in at most `radius` of 64 bits. A pair whose code agrees in an earlier
+    """Pairs a < b of different ids whose codes meet in a bucket and differ in at most `radius` of 128 bits. A pair whose code agrees in an earlier
     substring is left out; it may still come from several buckets."""
     rows = packed.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
     bits, tables, radius, low = index.bits, index.tables, index.radius, index.low
@@ -226,16 +226,19 @@ def candidate_pairs(packed: DataFrame, index: Index) -> DataFrame:
     def near(words: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray, ordered: bool, table: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for s in range(0, len(p), BLOCK):
             a = p[s : s + BLOCK]
-            x = words[a, None] ^ words[None, q]
-            hit = np.bitwise_count(x) <= radius
+            hit = np.bitwise_count(words[a, None, 0] ^ words[None, q, 0]) + np.bitwise_count(words[a, None, 1] ^ words[None, q, 1]) <= radius
             hit &= ids[a, None] < ids[None, q] if ordered else ids[a, None] != ids[None, q]
             i, j = np.nonzero(hit)
             if not len(i):
                 continue
-            d = x[i, j]
+            d = words[a[i]] ^ words[q[j]]
             first = np.ones(len(i), dtype=bool)
             for earlier in range(min(table, WORD // bits)):
-                first &= (d >> np.uint64(earlier * bits)) & np.uint64((1 << bits) - 1) != 0
+                word, at = divmod(earlier * bits, 64)
+                part = d[:, word] >> np.uint64(at)
+                if at + bits > 64:
+                    part |= d[:, word + 1] << np.uint64(64 - at)
+                first &= part & np.uint64((1 << bits) - 1) != 0
             yield ids[a[i[first]]], ids[q[j[first]]]
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +246,7 @@ def candidate_pairs(packed: DataFrame, index: Index) -> DataFrame:
         held = 0
         for (part, gi, gj), rows_ in units(batches):
             ids = np.concatenate([np.cumsum(np.frombuffer(r[0], np.int64)) for r in rows_])
-            words = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows_])
+            words = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows_]).reshape(-1, 2)
             lows = np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows_])
             table = (part >> 1) >> (bits - low)
             order = np.argsort(lows >> 2, kind="stable")
