@@ -32,9 +32,9 @@ from leafmill.session import bounded_sample, checkpoint, materialised
 #: Vectors in a bucket on average, and least and most bits of a substring.
 FILL, LEAST_BITS, MOST_BITS = 512, 8, 28
 #: Similarity at which the index is to find pairs, and the share of them that it is to find.
-AIM, GOAL = 0.88, 0.96
+AIM, GOAL = 0.88, 0.94
 #: Bits compared, and the standard deviations beyond the expected distance at `aim` up to which pairs are reranked.
-WORD, SPREAD = 128, 3.2
+WORD, SPREAD = 128, 2.6
 #: Most vectors to learn the rotation from.
 SAMPLE = 8192
 #: Rows of a bucket or a group in one unit at most; hot buckets that the driver may know of.
@@ -113,10 +113,10 @@ def unit_rows(batch: pa.RecordBatch, node: str, vec: str) -> tuple[np.ndarray, n
 
 
 def codes_of(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first 128 bits of each code as two words, bucket of each substring, bucket to probe for each substring): buckets are (tables x vectors)."""
+    """(first 128 bits of each code as four words, bucket of each substring, bucket to probe for each substring): buckets are (tables x vectors)."""
     project = x.astype(np.float32) @ index.w
     bits = project > 0
-    word = np.packbits(bits[:, :WORD], axis=1, bitorder="little").view(np.uint64)
+    word = np.packbits(bits[:, :WORD], axis=1, bitorder="little").view(np.uint32)
     weight = 1 << np.arange(index.bits)
     own, probed = np.empty((2, index.tables, len(x)), dtype=np.int64)
     for t in range(index.tables):
@@ -226,7 +226,7 @@ def candidate_pairs(packed: DataFrame, index: Index) -> DataFrame:
     def near(words: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray, ordered: bool, table: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for s in range(0, len(p), BLOCK):
             a = p[s : s + BLOCK]
-            hit = np.bitwise_count(words[a, None, 0] ^ words[None, q, 0]) + np.bitwise_count(words[a, None, 1] ^ words[None, q, 1]) <= radius
+            hit = sum(np.bitwise_count(words[a, None, k] ^ words[None, q, k]) for k in range(WORD // 32)) <= radius
             hit &= ids[a, None] < ids[None, q] if ordered else ids[a, None] != ids[None, q]
             i, j = np.nonzero(hit)
             if not len(i):
@@ -234,11 +234,11 @@ def candidate_pairs(packed: DataFrame, index: Index) -> DataFrame:
             d = words[a[i]] ^ words[q[j]]
             first = np.ones(len(i), dtype=bool)
             for earlier in range(min(table, WORD // bits)):
-                word, at = divmod(earlier * bits, 64)
-                part = d[:, word] >> np.uint64(at)
-                if at + bits > 64:
-                    part |= d[:, word + 1] << np.uint64(64 - at)
-                first &= part & np.uint64((1 << bits) - 1) != 0
+                word, at = divmod(earlier * bits, 32)
+                part = d[:, word] >> np.uint32(at)
+                if at + bits > 32:
+                    part |= d[:, word + 1] << np.uint32(32 - at)
+                first &= part & np.uint32((1 << bits) - 1) != 0
             yield ids[a[i[first]]], ids[q[j[first]]]
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def candidate_pairs(packed: DataFrame, index: Index) -> DataFrame:
         held = 0
         for (part, gi, gj), rows_ in units(batches):
             ids = np.concatenate([np.cumsum(np.frombuffer(r[0], np.int64)) for r in rows_])
-            words = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows_]).reshape(-1, 2)
+            words = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows_]).reshape(-1, WORD // 32)
             lows = np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows_])
             table = (part >> 1) >> (bits - low)
             order = np.argsort(lows >> 2, kind="stable")
@@ -265,13 +265,25 @@ def candidate_pairs(packed: DataFrame, index: Index) -> DataFrame:
                         for a, b in near(words, ids, p, q, ordered, table):
                             out.append((np.minimum(a, b), np.maximum(a, b)))
                             held += len(a)
-            if held > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+            if held > 500_000:
+                yield once(out)
                 out, held = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+            yield once(out)
 
-    return rows.mapInArrow(pair, "a long, b long")
+    def once(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b = a[new], b[new]
+        larger, at = np.unique(b, return_index=True)  # the first is the least, as pairs are in order of a
+        columns = [np.concatenate([a, larger]), np.concatenate([b, np.full(len(larger), -1)]), np.concatenate([np.full(len(a), -1), a[at]])]
+        pair_ = np.arange(len(columns[0])) < len(a)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=~pair_), pa.array(columns[2], mask=pair_)], names=["n", "p", "less"])
+
+    return rows.mapInArrow(pair, "n long, p long, less long")
 
 
 def in_blocks(rows: DataFrame, key: str, by: str, cap: int) -> DataFrame:
@@ -301,10 +313,9 @@ def _units(t: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def meeting_groups(pairs: DataFrame) -> DataFrame:
-    """Distinct (node, g): the groups in which a node's pairs are judged. Of a pair, this is the least partner of its smaller member."""
-    directed = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("p")), F.struct(F.col("b").alias("n"), F.col("a").alias("p")))).alias("e")).select("e.*")
-    least = F.least(F.col("n"), F.min("p").over(Window.partitionBy("n")))
-    judged = directed.withColumn("g", least).where(F.col("n") < F.col("p"))
+    """Distinct (node, g): the groups in which a node's pairs are judged. Of a pair, this is the least smaller partner of its smaller member, or else that member."""
+    least = F.coalesce(F.min("less").over(Window.partitionBy("n")), F.col("n"))
+    judged = pairs.withColumn("g", least).where(F.col("p").isNotNull())
     return judged.select(F.explode(F.array("n", "p")).alias("node"), "g").distinct()
 
 

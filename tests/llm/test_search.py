@@ -79,6 +79,27 @@ def test_recall_near_the_floor(spark):
     assert not got - want and len(got) >= 0.93 * len(want)
 
 
+@pytest.mark.parametrize("rows", [25_000, 2_500_000, 250_000_000])
+def test_index_of_any_size_reaches_the_aim(rows):
+    rng = np.random.default_rng(1)
+    sample = rng.normal(size=(4096, 64))
+    index = neighbours.planned(sample / np.linalg.norm(sample, axis=1, keepdims=True), rows)
+    assert rows / 2**index.bits <= neighbours.FILL
+    for low, high, least in ((0.88, 0.90, 0.94), (0.90, 0.92, 0.96), (0.95, 1.0, 0.995)):
+        x = at_cosines(rng.uniform(low, high, 4000))
+        (wa, oa, pa), (wb, ob, pb) = (neighbours.codes_of(v, index) for v in (x[::2], x[1::2]))
+        met = ((oa == ob) | (oa == pb) | (pa == ob)).any(axis=0) & (np.bitwise_count(wa ^ wb).sum(axis=1) <= index.radius)
+        assert met.mean() >= least
+
+
+def test_recall_without_a_floor(spark):
+    x = clustered(600, seed=6)
+    want = brute(x, 5, -1.0)
+    best = neighbours.most_similar(frame(spark, x), 5, -1.0, aim=0.5)
+    got = {tuple(r) for r in best.selectExpr("least(node, other)", "greatest(node, other)").distinct().collect()}
+    assert len(got & want) >= 0.95 * len(want)
+
+
 def test_many_vectors_without_direction(spark):
     one = [1.0] + [0.0] * 63
     odd = [[0.0] * 64, [float("nan")] * 64, [float("inf")] * 64, [None] + one[1:], [1.0, 2.0]]
