@@ -3,7 +3,8 @@
 1. Running headers and footers: lines near the top and bottom of pages whose text, as read by a forgiving eye, comes again on a share of
    the pages of the job; lines a few edits away from one of these are running lines too. Page numbers: lines near the edges of which a number
    (Arabic or Roman) follows the page by a constant on most pages that have such a line.
-2. The vocabulary is counted over the whole corpus. Its frequent words (a share of all words, so that their number is bounded) are broadcast.
+2. The vocabulary is counted over the whole corpus. Its words are broadcast, up to a number of the most frequent ones; the rest of a larger
+   vocabulary is joined to the pages that ask for such words.
 3. A line ending in a hyphen is joined with the next if the corpus knows the joined word, unless it rather knows the word with its hyphen.
 4. A word that the corpus hardly knows is misread if undoing usual confusions of a scanner gives a much more frequent one.
 """
@@ -11,10 +12,10 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +28,10 @@ from leafmill.sources.tables import page_counts
 EDGE, SHARE, LEAST = 3, 0.2, 2
 #: Letters from which a line must come again more often, as lines of the body may.
 LONG = 32
-#: Share of all words from which a word is frequent (so at most a million words are), and least count.
-FREQUENT, FREQUENT_LEAST = 1e-6, 6
-#: How many times more frequent the right word must be, for unknown words and for frequent ones.
-RATIO, RATIO_FREQUENT = 5, 100
+#: Least count of a word of the vocabulary, share of all words from which it is frequent, and most words that are broadcast.
+LEAST_COUNT, FREQUENT, MOST_WORDS = 6, 1e-6, 500_000
+#: How many times more frequent the right word must be, for unknown words, known ones and frequent ones.
+RATIO, RATIO_KNOWN, RATIO_FREQUENT = 5, 20, 100
 #: Most verdicts that a worker remembers.
 CACHE = 300_000
 
@@ -98,80 +99,115 @@ def forgiving(line: str) -> str:
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "c": "e", "5": "s", "6": "b", "h": "b", "9": "g", "f": "t", "—": "–", "-": "–"})
 
 
+_AROUND = " –-.[]()"
+
+
 def numbered(line: str) -> tuple[str, list[int]]:
     """Template of a line (folded, single spaces) with its numbers as `#`, and the numbers."""
-    s = line
-    found = [int(x) for x in _NUMBER.findall(s)[:4] if len(x) < 8]
+    found = [int(x) for x in _NUMBER.findall(line) if len(x) < 10]
     if found:
-        return _NUMBER.sub("#", s), found
-    if len(s) > 16:
-        return s, []
-    m = _ROMAN.fullmatch(s.strip(" –-.[]()"))
-    if m and m.group():
-        return s.replace(m.group(), "#r"), [roman(m.group())]
-    return s, []
+        return _NUMBER.sub("#", line), found
+    core = line.strip(_AROUND)
+    if 0 < len(core) < 16 and (m := _ROMAN.fullmatch(core)):  # no Roman number is longer
+        return line.replace(core, "#r"), [roman(m.group())]
+    return line, []
+
+
+#: What was made of lines before; running lines repeat.
+_EDGE: dict[str, tuple[str, str | None, list[int], bool]] = {}
+
+
+def edge_signs(line: str) -> tuple[str, str | None, list[int], bool]:
+    """(key, template or None, numbers, whether it looks like a page number) of a line."""
+    got = _EDGE.get(line)
+    if got is None:
+        if len(_EDGE) > CACHE:
+            _EDGE.clear()
+        clean = " ".join(legible(line).casefold().split())
+        template, numbers = numbered(clean)
+        got = _EDGE[line] = (forgiving(clean), template if numbers else None, numbers, bool(numbers) and bool(_PAGE.match(clean)))
+    return got
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, line, key, template, n1, n2, strict): the lines near the edges of each page; of a page written twice they come twice."""
+    """(doc_id, page, line_no, key, template, numbers, strict): the lines near the edges of each page; of a page written twice they come twice."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in batches:
-            b = raw.to_pandas()
-            at, no, keys, templates, first, second, strict = [], [], [], [], [], [], []
-            for k, text in enumerate(b["text"]):
+        for b in batches:
+            at, no, signs = [], [], []
+            for k, text in enumerate(b.column(2).to_pylist()):
                 for i, line in edge_lines(text):
-                    clean = " ".join(legible(line).casefold().split())
-                    template, numbers = numbered(clean)
                     at.append(k)
                     no.append(i)
-                    keys.append(forgiving(clean))
-                    templates.append(template if numbers else None)
-                    first.append(numbers[0] if numbers else None)
-                    second.append(numbers[1] if len(numbers) > 1 else None)
-                    strict.append(bool(numbers) and len(clean) <= 40 and bool(_PAGE.match(clean)))
+                    signs.append(edge_signs(line))
             if not at:
                 continue
-            made = [pa.array(b["doc_id"].to_numpy()[at], pa.string()), pa.array(b["page"].to_numpy()[at].astype("int32")), pa.array(no, pa.int32()), pa.array(keys, pa.string()), pa.array(templates, pa.string()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(strict, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "page", "line_no", "key", "template", "n1", "n2", "strict"])
+            kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_()]
+            made = [pa.array(c, t) for c, t in zip(zip(*signs, strict=True), kinds, strict=True)]
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(no, pa.int32()), *made], names=["doc_id", "page", "line_no", "key", "template", "numbers", "strict"])
 
     kept = page_counts(pages).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
-    return kept.select("doc_id", "page", "text").mapInArrow(cut, "doc_id string, page int, line_no int, key string, template string, n1 long, n2 long, strict boolean")
+    return kept.select("doc_id", "page", "text").mapInArrow(cut, "doc_id string, page int, line_no int, key string, template string, numbers array<long>, strict boolean")
 
 
 def furniture(pages: DataFrame) -> DataFrame:
-    """Distinct (doc_id, page, line_no) of running headers, running footers and page numbers."""
+    """Distinct (doc_id, page, line_no) of running headers, running footers and page numbers.
+
+    Keys, templates and offsets of numbers are counted together, by hashes; texts are moved only once, to the few running ones of their document.
+    """
     lines = materialised(edges(pages))
-    size = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
+    sign = lambda kind, h, x: F.struct(F.lit(kind).alias("kind"), h.alias("h"), x.cast("long").alias("x"))
+    key, template = F.xxhash64("key"), F.xxhash64("template")
+    offsets = F.transform(F.array_distinct("numbers"), lambda n: sign("offset", template, n - F.col("page")))
+    signs = F.concat(
+        F.array(sign("page", F.lit(0).cast("long"), F.lit(0)), sign("key", key, F.length("key"))),
+        F.when(F.col("template").isNotNull(), F.array_append(offsets, sign("template", template, F.lit(0)))).otherwise(F.array()),
+    )
+    each = lines.select("doc_id", "page", F.explode(signs).alias("s")).select("doc_id", "page", "s.*").distinct()
+    counted = materialised(each.groupBy("doc_id", "kind", "h", "x").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST) | (F.col("kind") == "page")))
+    size = counted.where("kind = 'page'").select("doc_id", F.col("n").alias("_pages"))
     least = F.greatest(F.lit(LEAST), F.ceil(F.col("_pages") * SHARE))
-    # keys are counted by their hash and length, so that their texts are moved only once, to the lines of their document
-    hashed = lines.groupBy("doc_id", F.xxhash64("key").alias("_h"), F.length("key").alias("_l")).agg(F.count_distinct("page").alias("_n")).join(size, "doc_id")
-    enough = F.when(F.col("_l") < LONG, least).otherwise(F.greatest(F.lit(LEAST + 1), F.ceil(F.col("_pages") * SHARE * 1.5)))  # long lines may be body
-    keys = hashed.where((F.col("_n") >= enough) & (F.col("_l") > 2))
-    by_offset = lines.where(F.col("n1").isNotNull()).select("doc_id", "page", "template", F.explode(F.array_distinct(F.array_compact(F.array(F.col("n1") - F.col("page"), F.col("n2") - F.col("page"))))).alias("_o"))
-    offsets = by_offset.groupBy("doc_id", "template", "_o").agg(F.count_distinct("page").alias("_n"))
-    all_ = lines.where(F.col("n1").isNotNull()).groupBy("doc_id", "template").agg(F.count_distinct("page").alias("_t"))
-    sequences = offsets.join(all_, ["doc_id", "template"]).join(size, "doc_id").where((F.col("_n") >= least) & (F.col("_n") >= 0.6 * F.col("_t")))
-    known = keys.groupBy("doc_id").agg(F.collect_set("_h").alias("_hashes")).join(sequences.groupBy("doc_id").agg(F.collect_set("template").alias("_templates")), "doc_id", "full")
+    long = F.greatest(F.lit(LEAST + 1), F.ceil(F.col("_pages") * SHARE * 1.5))  # long lines may be body
+    met = counted.where("kind <> 'page'").join(size, "doc_id")
+    # of a template, the pages with the offset and all pages with the template are compared within one group
+    whole = F.max(F.when(F.col("kind") == "template", F.col("n")))
+    best = F.max(F.when(F.col("kind") == "offset", F.col("n")))
+    by_template = met.where("kind <> 'key'").groupBy("doc_id", "h", "_pages").agg(best.alias("n"), whole.alias("_t"))
+    sequences = by_template.where((F.col("n") >= least) & (F.col("n") >= 0.6 * F.col("_t"))).select("doc_id", F.lit(False).alias("is_key"), "h")
+    keys = met.where((F.col("kind") == "key") & (F.col("x") > 2) & (F.col("n") >= F.when(F.col("x") < LONG, least).otherwise(long))).select("doc_id", F.lit(True).alias("is_key"), "h")
+    both = keys.unionByName(sequences).groupBy("doc_id")
+    known = both.agg(F.collect_set(F.when(F.col("is_key"), F.col("h"))).alias("_hashes"), F.collect_set(F.when(~F.col("is_key"), F.col("h"))).alias("_templates"))  # few for each document
     near = lines.join(known, "doc_id", "left")
-    texts = near.where(F.array_contains("_hashes", F.xxhash64("key"))).groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))  # few for each document
+    is_key, is_template = F.array_contains("_hashes", key), F.array_contains("_templates", template)
+    texts = near.where(is_key | is_template).groupBy("doc_id").agg(F.collect_set(F.when(is_key, F.col("key"))).alias("_keys"), F.collect_set(F.when(is_template, F.col("template"))).alias("_made"))
     joined = near.join(texts, "doc_id", "left")
-    close = lambda a, k: F.levenshtein(a, k) <= F.greatest(F.lit(1), F.floor(F.length(k) * 0.25))
-    running = F.exists("_keys", lambda k: (F.abs(F.length("key") - F.length(k)) <= F.length(k) * 0.25 + 1) & close(F.col("key"), k))
-    counted = F.exists("_templates", lambda k: (F.col("template") == k) | (F.length(k) > 3) & (F.levenshtein(F.col("template"), k) <= F.greatest(F.lit(1), F.floor(F.length(k) * 0.2)))) & (F.length("template") <= 40)
-    alone = F.col("strict") & (F.col("n1") == F.col("page"))
-    hit = F.coalesce(running, F.lit(False)) | F.coalesce(counted, F.lit(False)) | F.coalesce(alone, F.lit(False))
+    close = lambda a, k, share: F.levenshtein(a, k) <= F.greatest(F.lit(1), F.floor(F.length(k) * share))
+    running = F.exists("_keys", lambda k: (F.abs(F.length("key") - F.length(k)) <= F.length(k) * 0.25 + 1) & close(F.col("key"), k, 0.25))
+    sequence = F.exists("_made", lambda k: (F.abs(F.length("template") - F.length(k)) <= F.length(k) * 0.2 + 1) & (F.length(k) > 3) & close(F.col("template"), k, 0.2))
+    alone = F.col("strict") & (F.get("numbers", F.lit(0)) == F.col("page"))
+    hit = F.array_contains(F.array(*[F.coalesce(c, F.lit(False)) for c in (is_key, is_template, alone, running, sequence)]), F.lit(True))
     return joined.where(hit).select("doc_id", "page", "line_no").distinct()
 
 
-def vocabulary(pages: DataFrame) -> dict[str, int]:
-    """Frequent words of the whole corpus with their counts; of words with hyphens the parts count too. Counted within each batch before the shuffle.
+class Vocabulary(NamedTuple):
+    """words: known words with their counts. frequent: count from which a word is frequent. rest: known words beyond those, null where there are none."""
 
-    A word is frequent from a millionth of all words, so that there are at most a million; repeated rows of a page count again.
+    words: dict[str, int]
+    frequent: float
+    rest: DataFrame | None
+
+
+def vocabulary(pages: DataFrame, most: int = MOST_WORDS) -> Vocabulary:
+    """Words of the whole corpus with their counts; of words with hyphens the parts count too. Counted within each batch before the shuffle.
+
+    At most `most` words, the most frequent ones, come to the driver; others stay a table. Repeated rows of a page count again.
     """
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter[str] = Counter()
         for b in batches:
-            for t in b["text"]:
+            for t in b.column(0).to_pylist():
                 c.update(_WORD.findall(t.lower()))
             if len(c) > CACHE:
                 yield counted(c)
@@ -179,16 +215,25 @@ def vocabulary(pages: DataFrame) -> dict[str, int]:
         if c:
             yield counted(c)
 
-    def counted(c: Counter[str]) -> pd.DataFrame:
+    def counted(c: Counter[str]) -> pa.RecordBatch:
         for w, n in [x for x in c.items() if "-" in x[0]]:
             for part in w.split("-"):
                 c[part] += n
-        return pd.DataFrame({"word": list(c), "n": list(c.values())}, columns=["word", "n"])
-
-    words = page_counts(pages).select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    kept = checkpoint(words.where(F.col("n") >= FREQUENT_LEAST))  # read twice, counted once
-    n_all = kept.agg(F.sum("n")).first()[0] or 0
-    return dict(kept.where(F.col("n") >= max(FREQUENT_LEAST, n_all * FREQUENT)).collect())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+
+    words = page_counts(pages).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    kept = checkpoint(words.where(F.col("n") >= LEAST_COUNT))  # read again, counted once
+    known, all_ = kept.agg(F.count("*"), F.sum("n")).first()
+    if known <= most:
+        return Vocabulary(dict(kept.collect()), (all_ or 0) * FREQUENT, None)
+    bands = kept.groupBy(F.floor(F.log2("n") * 16).alias("band")).agg(F.count("*").alias("k"), F.min("n").alias("low")).orderBy(F.desc("band")).collect()
+    floor, held = None, 0
+    for r in bands:  # a few hundred bands of about equal counts
+        if held + r["k"] > most:
+            break
+        floor, held = r["low"], held + r["k"]
+    words_ = dict(kept.where(F.col("n") >= floor).collect()) if floor else {}
+    return Vocabulary(words_, all_ * FREQUENT, kept.where(F.col("n") < floor) if floor else kept)
 
 
 _BY_FIRST: dict[str, list[tuple[str, str]]] = {}
@@ -211,8 +256,8 @@ _CLASSES = str.maketrans({c: group[0] for group in ("ec", "li!|1", "s5", "0oоο
 class Reader:
     """Verdicts on words by a vocabulary."""
 
-    def __init__(self, vocabulary: dict[str, int]) -> None:
-        self.v, self.made = vocabulary, {}
+    def __init__(self, vocabulary: dict[str, int], frequent: float = 0.0) -> None:
+        self.v, self.frequent, self.made = vocabulary, frequent, {}
         self.sound: set[str] = set()
         self.blurred = {blurred(w) for w in vocabulary}
 
@@ -223,14 +268,14 @@ class Reader:
         if len(self.made) > CACHE:
             self.made.clear()
         own = self.v.get(word, 0)
-        best, count = None, max(own * (RATIO_FREQUENT if own else 1), 1)
+        best, count = None, max(own * (RATIO_FREQUENT if own >= self.frequent else RATIO_KNOWN), 1)
         if len(_LETTER.findall(word)) > 1:
             once = self._undo(word)
             for w in once:
                 n = self.v.get(w, 0)
                 if n > count and (own or n >= RATIO):
                     best, count = w, n
-            if best is None and not own and 3 < len(word) < 30 and blurred(word) in self.blurred:  # two confusions
+            if best is None and not own and len(word) > 3 and blurred(word) in self.blurred:  # two confusions
                 for x in once:
                     for w in self._undo(x):
                         n = self.v.get(w, 0)
@@ -287,7 +332,7 @@ class Reader:
         halves: dict[int, tuple[str, str]] = {}  # of the line that is cut
         for m in _LINE_BREAK.finditer(text):
             first = _FIRST.match(text, m.end())
-            last = _BREAK.search(text[max(0, m.start() - 40) : m.start() + 1].rpartition("\n")[2])
+            last = _BREAK.search(text[1 + max(text.rfind(c, 0, m.start()) for c in " \n\t\r\xa0") : m.start() + 1])
             if not first or not last:
                 continue
             head, nxt, sign = last.group(1), first.group(1), text[m.start()]
@@ -313,34 +358,30 @@ class Reader:
         return sorted(out)
 
     def paragraphs(self, text: str, drop: set[int], scanned: bool) -> str:
-        """Continuous paragraphs: running lines dropped, cut words joined, misread words put right."""
-        lines = [legible(x) for x in text.split("\n")]
+        """Continuous paragraphs: running lines dropped, cut words joined, misread words put right. A word cut at the end of the page stays cut."""
+        kept = [s for i, x in enumerate(text.split("\n")) if i not in drop for s in [legible(x).strip()]]
+        filled = [k for k, s in enumerate(kept) if s]
+        following = dict(zip(filled, filled[1:], strict=False))
         done: list[str] = []
-        now = ""
+        now: list[str] = []
         cut = False
-        for i, line in enumerate(lines):
-            if i in drop:
-                continue
-            s = line.strip()
+        for k, s in enumerate(kept):
             if not s:
-                if not cut:
-                    done, now = [*done, now] if now else done, ""
+                if not cut and now:
+                    done.append("".join(now))
+                    now = []
                 continue
-            if cut:
-                now += s
-            elif now and canonical_dense(now[-1]) and canonical_dense(s[0]):
-                now += s
-            else:
-                now = f"{now} {s}" if now else s
+            if now and not cut and not (canonical_dense(now[-1][-1]) and canonical_dense(s[0])):
+                now.append(" ")
             cut = False
-            m = _BREAK.search(now)
-            following = next((x for j, x in enumerate(lines[i + 1 :], i + 1) if j not in drop and x.strip()), "")
-            if m and (n := _FIRST.match(following)):
-                if self.joins(m.group(1), n.group(1), now[-1]) and not n.group(1)[0].isupper():
-                    now = now.rstrip()[:-1]
+            m = _BREAK.search(s[1 + max(s.rfind(c) for c in " \t\xa0") :])
+            if m and k in following and (n := _FIRST.match(kept[following[k]])):
                 cut = True
+                if self.joins(m.group(1), n.group(1), s[-1]) and not n.group(1)[0].isupper():
+                    s = s[:-1]
+            now.append(s)
         if now:
-            done.append(now)
+            done.append("".join(now))
         whole = "\n\n".join(done)
         return _TOKEN.sub(lambda m: self._repaired(m.group()), whole) if scanned else whole
 
@@ -355,21 +396,93 @@ def canonical_dense(c: str) -> bool:
     return "\u3040" <= c <= "ヿ" or "㐀" <= c <= "鿿" or c in "、。，！？"
 
 
-def line_kinds(pages: DataFrame, v: dict[str, int]) -> DataFrame:
-    """(doc_id, page, line_no, kind) of cut and misread lines; only pages that are no text layer can be misread."""
-    sent = pages.sparkSession.sparkContext.broadcast(v)
+class Asking(dict):
+    """A vocabulary that remembers the words it was asked for in vain."""
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(sent.value)
+    def __init__(self, words: dict[str, int]) -> None:
+        super().__init__(words)
+        self.asked: set[str] = set()
+
+    def get(self, word: str, default: int = 0) -> int:  # type: ignore[override]
+        got = super().get(word)
+        if got is None:
+            self.asked.add(word)
+            return default
+        return got
+
+
+ROW = "doc_id string, page int, source string, text string"
+
+
+def known_words(pages: DataFrame, v: Vocabulary, run: str) -> DataFrame:
+    """The pages (ROW and `_drop`) with `_more`: words of `v.rest` that the reader asks for on each page, with their counts.
+
+    Each page is read once with what is broadcast, and what it asked for in vain is joined with the rest, as are words that blur into the same
+    form; only pages for which something is found are read differently. Nothing is done where the whole vocabulary is broadcast.
+    """
+    none = F.lit(None).cast("map<string,bigint>")
+    if v.rest is None:
+        return pages.withColumn("_more", none)
+    sent = pages.sparkSession.sparkContext.broadcast((v.words, v.frequent))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Asking(sent.value[0])
+        reader = Reader(words, sent.value[1])
         for b in batches:
-            out = [reader.lines(t, s != "text") for s, t in zip(b["source"], b["text"], strict=True)]
-            at = [k for k, x in enumerate(out) for _ in x]
-            if not at:
-                continue
-            yield b[["doc_id", "page"]].iloc[at].assign(line_no=[i for x in out for i, _ in x], kind=[k for x in out for _, k in x])
+            rows: list[tuple] = []
+            for doc, page, source, text, drop in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                words.asked.clear()
+                reader.made.clear()
+                reader.sound.clear()
+                getattr(reader, run)(text, source != "text") if run == "lines" else reader.paragraphs(text, set(drop or ()), source != "text")
+                rows += [(doc, page, w, False) for w in words.asked]
+                rows += [(doc, page, blurred(t), True) for t in set(_TOKEN.findall(text.lower()))]
+            if rows:
+                kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "page", "form", "is_blurred"])
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, n = b.column(0).to_pylist(), b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([*words, *map(blurred, words)], pa.string()), pa.array([False] * len(words) + [True] * len(words)), pa.array(words * 2, pa.string()), pa.array(n * 2, pa.int64())], names=["form", "is_blurred", "word", "n"])
+
+    asked = pages.select("doc_id", "page", "source", "text", "_drop").mapInArrow(ask, "doc_id string, page int, form string, is_blurred boolean")
+    rest = v.rest.mapInArrow(forms, "form string, is_blurred boolean, word string, n long")
+    found_ = asked.join(rest, ["form", "is_blurred"]).select("doc_id", "page", "word", "n").distinct()
+    more = found_.groupBy("doc_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("_more"))  # at most the words of one page
+    return pages.join(more, ["doc_id", "page"], "left")
+
 
+def reading(pages: DataFrame, v: Vocabulary, run: str, schema: str, read: Callable[[Reader, str, str, set[int]], list[tuple]]) -> DataFrame:
+    """Rows of `schema` made of (doc_id, page) and what `read` gives for each page (ROW and `_drop`)."""
+    sent = pages.sparkSession.sparkContext.broadcast((v.words, v.frequent))
+    kinds = [{"int": pa.int32(), "string": pa.string()}[f.split(" ")[1]] for f in schema.split(", ")]
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, frequent = sent.value
+        reader = Reader(words, frequent)
+        for b in batches:
+            out: list[tuple] = []
+            for doc, page, source, text, drop, more in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                one = reader
+                if more:
+                    extra = dict(more)
+                    one = Reader.__new__(Reader)
+                    one.v, one.frequent, one.made, one.sound = ChainMap(extra, words), frequent, {}, set()
+                    one.blurred = reader.blurred | {blurred(w) for w in extra}
+                out += [(doc, page, *x) for x in read(one, text, source, set(drop or ()))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return known_words(pages, v, run).select("doc_id", "page", "source", "text", "_drop", "_more").mapInArrow(judge, schema)
+
+
+def line_kinds(pages: DataFrame, v: Vocabulary) -> DataFrame:
+    """(doc_id, page, line_no, kind) of cut and misread lines; only pages that are no text layer can be misread."""
     kept = page_counts(pages).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
-    return kept.select("doc_id", "page", "source", "text").mapInPandas(judge, "doc_id string, page int, line_no int, kind string")
+    rows = kept.select("doc_id", "page", "source", "text", F.lit(None).cast("array<int>").alias("_drop"))
+    return reading(rows, v, "lines", "doc_id string, page int, line_no int, kind string", lambda reader, text, source, _: reader.lines(text, source != "text"))
 
 
 def found(pages: DataFrame) -> DataFrame:
@@ -382,13 +495,6 @@ def found(pages: DataFrame) -> DataFrame:
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, page, text): each page as continuous paragraphs of clean text."""
-    v = pages.sparkSession.sparkContext.broadcast(vocabulary(pages))
     drop = furniture(pages).groupBy("doc_id", "page").agg(F.collect_set("line_no").alias("_drop"))
     kept = page_counts(pages).select("doc_id", "page", "source", "text").dropDuplicates(["doc_id", "page"]).join(drop, ["doc_id", "page"], "left")
-
-    def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(v.value)
-        for b in batches:
-            yield b[["doc_id", "page"]].assign(text=[reader.paragraphs(t, set(d) if d is not None else set(), s != "text") for t, d, s in zip(b["text"], b["_drop"], b["source"], strict=True)])
-
-    return kept.mapInPandas(fix, "doc_id string, page int, text string")
+    return reading(kept, vocabulary(pages), "paragraphs", "doc_id string, page int, text string", lambda reader, text, source, lines: [(reader.paragraphs(text, lines, source != "text"),)])
