@@ -12,6 +12,7 @@ Replacement characters mark damage that cannot be restored.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -75,6 +76,22 @@ def leads(codec: str) -> frozenset[str]:
     return frozenset(c for c, b in to_byte(codec).items() if 0xC2 <= b <= 0xF4)
 
 
+@cache
+def trails(codec: str) -> frozenset[str]:
+    """Characters that may follow one."""
+    return frozenset(c for c, b in to_byte(codec).items() if 0x80 <= b <= 0xBF)
+
+
+def _kept(e: UnicodeError) -> tuple[str, int]:
+    """Bytes that no text has in an encoding stay the characters they came as."""
+    t = table("cp1252")
+    return "".join(chr(b) if b < 0x80 else t[b] for b in e.object[e.start : e.end]), e.end
+
+
+KEEP = "leafmill-keep"
+codecs.register_error(KEEP, _kept)
+
+
 #: Letters and marks that ordinary text of the languages at hand has; a span of only these may be no damage at all.
 ORDINARY = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĄąĆćĘęŁłŃńŚśŹźŻżŒœΆ-ώЁА-яё’‘“”„«»–—…\s]+")
 #: What a decoded span may consist of to be believed.
@@ -112,18 +129,19 @@ def believed(span: str, got: str, codec: str) -> bool:
     return codec == "cp1252" and span[0] in "ÃÅÐÑÎÏâ" and span[1:] not in ("”", "“", "’", "»") and not span.isalpha()
 
 
-def _undo_utf8(line: str) -> tuple[str, int]:
-    """The line with believable spans decoded, and how many these were; the table whose spans cover most counts."""
+def _undo_utf8(line: str, again: bool = False) -> tuple[str, int]:
+    """The line with believable spans decoded, and how many these were; the table whose spans cover most counts. What was decoded once and is
+    still well-formed was damaged twice (`again`)."""
     best = (0, line, 0)
     beyond = sum(map(len, _RUN.findall(line)))
     chars = set(line)
     for codec in READ_AS:
-        if leads(codec).isdisjoint(chars):
+        if leads(codec).isdisjoint(chars) or trails(codec).isdisjoint(chars):
             continue
         found = []
-        sure = False
+        sure = again
         for m in utf8_spans(codec).finditer(line):
-            got = _bytes(m.group(), codec).decode("utf-8", "replace")
+            got = _bytes(m.group(), codec).decode("utf-8")  # well-formed
             if PLAUSIBLE.fullmatch(got) and got.strip("\xa0"):
                 found.append((m.start(), m.end(), got))
                 sure = sure or believed(m.group(), got, codec)
@@ -154,8 +172,8 @@ def _undo_wide(line: str) -> tuple[str, int]:
             try:
                 got = _bytes(run, "cp1252").decode(codec)
             except UnicodeDecodeError:
-                got = _bytes(run, "cp1252").decode(codec, "ignore")
-                if len(got) * 2 < len(run) - 2:
+                got = _bytes(run, "cp1252").decode(codec, KEEP)  # well-formed spans only, the rest stays
+                if len(_HIGH.findall(got)) > 2:
                     continue
             kana = len(re.findall(r"[、-。\u3040-ヿ，一-鿿]", got))
             usual = len(re.findall(r"[、-。\u3040-ヿ，。的了在和一是不]", got))
@@ -183,6 +201,14 @@ def _score(text: str) -> float:
 GOOD_READING = 1.15
 
 
+def _read(c: str, back: dict[str, int], codec: str) -> str:
+    """A character of one table read by another, where both have it."""
+    try:
+        return bytes([back[c]]).decode(codec) if c in back else c
+    except UnicodeDecodeError:
+        return c
+
+
 def _undo_single(line: str) -> tuple[str, int, float]:
     """The line read by another single-byte table, the number of runs read anew, and the mean score of their letters."""
     best, top = (line, 0, 0.0), 0.0
@@ -192,7 +218,7 @@ def _undo_single(line: str) -> tuple[str, int, float]:
             for w in re.split(r"(\s+)", line):
                 core = w.strip(".,;:!?()\"'-–0123456789")
                 if core and not core.isascii() and all(c in to_byte("cp1252") for c in core):
-                    got = _bytes(core, "cp1252").decode(written, "replace")
+                    got = _bytes(core, "cp1252").decode(written, KEEP)
                     score += _score(got) * len(got)
                     letters += len(got)
                     n += 1
@@ -202,12 +228,12 @@ def _undo_single(line: str) -> tuple[str, int, float]:
                 best, top = ("".join(out), n, score / letters), score
         return best
     if SIGN_IN_WORD.search(line):
-        got = re.sub(r"[^\x00-\x7f]", lambda m: _bytes(m.group(), "cp1252").decode("cp1250", "replace") if m.group() in to_byte("cp1252") else m.group(), line)
+        got = re.sub(r"[^\x00-\x7f]", lambda m: _bytes(m.group(), "cp1252").decode("cp1250", KEEP) if m.group() in to_byte("cp1252") else m.group(), line)
         return got, 1, GOOD_READING
     if CASE_FLIP.search(line):
         for read, written in (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866")):
             back = to_byte(read)
-            got = re.sub(r"[^\x00-\x7f]", lambda m: bytes([back[m.group()]]).decode(written, "replace") if m.group() in back else m.group(), line)
+            got = re.sub(r"[^\x00-\x7f]", lambda m: _read(m.group(), back, written), line)
             s = _score("".join(c for c in got if not c.isascii()))
             if s > top and s > _score("".join(c for c in line if not c.isascii()).lower() if line.upper() == line else "".join(c for c in line if not c.isascii())) + 0.2:
                 best, top = (got, 1, s), s
@@ -220,7 +246,7 @@ def restore_line(line: str) -> tuple[str, int, bool]:
         return line, 0, True
     n, now = 0, line
     for _ in range(3):  # text may have been through it more than once
-        fixed, k = _undo_utf8(now)
+        fixed, k = _undo_utf8(now, n > 0)
         if not k:
             break
         now, n = fixed, n + k

@@ -63,14 +63,23 @@ def roman(text: str) -> int:
     return total
 
 
+#: Lines put right before.
+_LEGIBLE: dict[str, str] = {}
+
+
 def legible(line: str) -> str:
     """The line without encoding damage and look-alike characters."""
-    if not line.isascii():
-        if mojibake.suspicious(line):
-            line = mojibake.restore_line(line)[0]
-        if canonical.at_issue(line):
-            line = canonical.plain(line)
-    return line
+    if line.isascii():
+        return line
+    got = _LEGIBLE.get(line)
+    if got is None:
+        if len(_LEGIBLE) > CACHE:
+            _LEGIBLE.clear()
+        got = mojibake.restore_line(line)[0] if mojibake.suspicious(line) else line
+        if canonical.at_issue(got):
+            got = canonical.plain(got)
+        _LEGIBLE[line] = got
+    return got
 
 
 def edge_lines(text: str) -> list[tuple[int, str]]:
