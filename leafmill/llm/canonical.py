@@ -55,7 +55,7 @@ _SPACE = re.compile(f"[{SPACES}]")
 _IGNORE = re.compile(f"[{IGNORABLE}{ASTRAL_IGNORABLE}]")
 _COMPAT = re.compile(f"[{COMPAT}{ASTRAL_COMPAT}]+")
 _MARKED = re.compile(f"[^\\W\\d_][{MARKS}]+")
-_RUN = re.compile(r"[A-Za-z]?[^\x00-\x7f]+[A-Za-z]?")
+RUN = re.compile(r"[A-Za-z]?[^\x00-\x7f]+[A-Za-z]?")
 _ANY = re.compile(f"[{SPACES}{IGNORABLE}{MARKS}{COMPAT}{ASTRAL_IGNORABLE}{ASTRAL_COMPAT}]")
 _LETTERS_OF_TWO = re.compile("|".join(f"[{SCRIPT[a]}][{SCRIPT[b]}]" for a in SCRIPT for b in SCRIPT if a != b))
 #: Most distinct runs that a worker remembers.
@@ -69,7 +69,7 @@ _IN = {k: re.compile(f"[{v}]") for k, v in SCRIPT.items()}
 def at_issue(text: str) -> bool:
     """Whether a text may have look-alike characters. Its runs beyond ASCII repeat, so that each distinct one is judged once."""
     if not text.isascii():
-        for run in _RUN.findall(text):
+        for run in RUN.findall(text):
             if _SUSPECT.get(run) is None:
                 if len(_SUSPECT) > CACHE:
                     _SUSPECT.clear()

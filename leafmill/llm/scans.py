@@ -82,6 +82,22 @@ def legible(line: str) -> str:
     return got
 
 
+_UNCLEAR: dict[str, bool] = {}
+
+
+def unclear(text: str) -> bool:
+    """Whether some line may not be legible: both tests in one pass over the runs beyond ASCII, each distinct one judged once."""
+    for run in canonical.RUN.findall(text):
+        got = _UNCLEAR.get(run)
+        if got is None:
+            if len(_UNCLEAR) > CACHE:
+                _UNCLEAR.clear()
+            got = _UNCLEAR[run] = mojibake.suspicious(run) or canonical.at_issue(run)
+        if got:
+            return True
+    return bool(mojibake.CAPITALS.search(text))
+
+
 def edge_lines(text: str) -> list[tuple[int, str]]:
     """(line number, text) of the first and last EDGE lines that are not blank."""
     raw = text.split("\n")
@@ -139,25 +155,26 @@ def edge_signs(line: str) -> tuple[str, str | None, list[int], bool]:
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, key, template, numbers, strict): the lines near the edges of each page; of a page written twice they come twice."""
+    """(doc_id, page, line_no, first, key, template, numbers, strict): the lines near the edges of each page; of a page written twice they come twice."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, no, signs = [], [], []
+            at, no, first, signs = [], [], [], []
             for k, text in enumerate(b.column(2).to_pylist()):
-                for i, line in edge_lines(text):
+                for place, (i, line) in enumerate(edge_lines(text)):
                     at.append(k)
                     no.append(i)
+                    first.append(not place)
                     signs.append(edge_signs(line))
             if not at:
                 continue
             kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_()]
             made = [pa.array(c, t) for c, t in zip(zip(*signs, strict=True), kinds, strict=True)]
             rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(no, pa.int32()), *made], names=["doc_id", "page", "line_no", "key", "template", "numbers", "strict"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(no, pa.int32()), pa.array(first), *made], names=["doc_id", "page", "line_no", "first", "key", "template", "numbers", "strict"])
 
     kept = page_counts(pages).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
-    return kept.select("doc_id", "page", "text").mapInArrow(cut, "doc_id string, page int, line_no int, key string, template string, numbers array<long>, strict boolean")
+    return kept.select("doc_id", "page", "text").mapInArrow(cut, "doc_id string, page int, line_no int, first boolean, key string, template string, numbers array<long>, strict boolean")
 
 
 def furniture(pages: DataFrame) -> DataFrame:
@@ -166,25 +183,27 @@ def furniture(pages: DataFrame) -> DataFrame:
     Keys, templates and offsets of numbers are counted together, by hashes; texts are moved only once, to the few running ones of their document.
     """
     lines = materialised(edges(pages))
-    sign = lambda kind, h, x: F.struct(F.lit(kind).alias("kind"), h.alias("h"), x.cast("long").alias("x"))
+    sign = lambda kind, h, x: F.struct(F.lit(kind).cast("tinyint").alias("kind"), h.alias("h"), x.cast("int").alias("x"))
     key, template = F.xxhash64("key"), F.xxhash64("template")
-    offsets = F.transform(F.array_distinct("numbers"), lambda n: sign("offset", template, n - F.col("page")))
+    whole_page, whole_key, offset, any_number = range(4)
+    offsets = F.transform(F.array_distinct("numbers"), lambda n: sign(offset, template, n - F.col("page")))
     signs = F.concat(
-        F.array(sign("page", F.lit(0).cast("long"), F.lit(0)), sign("key", key, F.length("key"))),
-        F.when(F.col("template").isNotNull(), F.array_append(offsets, sign("template", template, F.lit(0)))).otherwise(F.array()),
+        F.when(F.col("first"), F.array(sign(whole_page, F.lit(0).cast("long"), F.lit(0)))).otherwise(F.array()),
+        F.when(F.length("key") > 2, F.array(sign(whole_key, key, F.length("key")))).otherwise(F.array()),
+        F.when(F.col("template").isNotNull(), F.array_append(offsets, sign(any_number, template, F.lit(0)))).otherwise(F.array()),
     )
     each = lines.select("doc_id", "page", F.explode(signs).alias("s")).select("doc_id", "page", "s.*").distinct()
-    counted = materialised(each.groupBy("doc_id", "kind", "h", "x").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST) | (F.col("kind") == "page")))
-    size = counted.where("kind = 'page'").select("doc_id", F.col("n").alias("_pages"))
+    counted = materialised(each.groupBy("doc_id", "kind", "h", "x").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST) | (F.col("kind") == whole_page)))
+    size = counted.where(F.col("kind") == whole_page).select("doc_id", F.col("n").alias("_pages"))
     least = F.greatest(F.lit(LEAST), F.ceil(F.col("_pages") * SHARE))
     long = F.greatest(F.lit(LEAST + 1), F.ceil(F.col("_pages") * SHARE * 1.5))  # long lines may be body
-    met = counted.where("kind <> 'page'").join(size, "doc_id")
+    met = counted.where(F.col("kind") != whole_page).join(size, "doc_id")
     # of a template, the pages with the offset and all pages with the template are compared within one group
-    whole = F.max(F.when(F.col("kind") == "template", F.col("n")))
-    best = F.max(F.when(F.col("kind") == "offset", F.col("n")))
-    by_template = met.where("kind <> 'key'").groupBy("doc_id", "h", "_pages").agg(best.alias("n"), whole.alias("_t"))
+    whole = F.max(F.when(F.col("kind") == any_number, F.col("n")))
+    best = F.max(F.when(F.col("kind") == offset, F.col("n")))
+    by_template = met.where(F.col("kind") != whole_key).groupBy("doc_id", "h", "_pages").agg(best.alias("n"), whole.alias("_t"))
     sequences = by_template.where((F.col("n") >= least) & (F.col("n") >= 0.6 * F.col("_t"))).select("doc_id", F.lit(False).alias("is_key"), "h")
-    keys = met.where((F.col("kind") == "key") & (F.col("x") > 2) & (F.col("n") >= F.when(F.col("x") < LONG, least).otherwise(long))).select("doc_id", F.lit(True).alias("is_key"), "h")
+    keys = met.where((F.col("kind") == whole_key) & (F.col("n") >= F.when(F.col("x") < LONG, least).otherwise(long))).select("doc_id", F.lit(True).alias("is_key"), "h")
     both = keys.unionByName(sequences).groupBy("doc_id")
     known = both.agg(F.collect_set(F.when(F.col("is_key"), F.col("h"))).alias("_hashes"), F.collect_set(F.when(~F.col("is_key"), F.col("h"))).alias("_templates"))  # few for each document
     near = lines.join(known, "doc_id", "left")
@@ -333,7 +352,9 @@ class Reader:
 
     def lines(self, text: str, scanned: bool) -> list[tuple[int, str]]:
         """(line number, kind) of the lines that are cut or misread; running lines are not known here."""
-        if not text.isascii() and (mojibake.suspicious(text) or canonical.at_issue(text)):
+        if not scanned and not _LINE_BREAK.search(text):
+            return []
+        if not text.isascii() and unclear(text):
             text = "\n".join(legible(x) for x in text.split("\n"))
         low = text.lower() if scanned else ""
         bad = self.misread(set(_TOKEN.findall(low))) if scanned else set()
