@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.functions.text import node_key, strip
+from leafmill.providers import Embedder, Extractor
 
 
 def mentions(triples: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -96,6 +99,40 @@ def json_rows(node: DataFrame, edge: DataFrame) -> DataFrame:
     return entity.unionByName(triple)
 
 
+def documents(node: DataFrame, edge: DataFrame, jobs: DataFrame, embed_model: str = "none") -> DataFrame:
+    """(doc_id, filename, num_nodes, num_edges, embed_model, entities, triples): the graph export of each document in one row, as its JSON file holds it.
+    For documents that do not fit into a value there is `json_rows`."""
+    rows = json_rows(node, edge)
+    parts = rows.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "json"))), lambda x: x["json"]), ","), F.lit("]")).alias("j"))
+    one = parts.groupBy("doc_id").agg(*[f for kind, n, j in (("entity", "num_nodes", "entities"), ("triple", "num_edges", "triples")) for f in (F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(n), F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("j"))), F.lit("[]")).alias(j))])
+    names = jobs.groupBy(F.col("job_id").alias("doc_id")).agg(F.max("filename").alias("filename"))
+    return one.join(names, "doc_id", "left").select("doc_id", "filename", "num_nodes", "num_edges", F.lit(embed_model).alias("embed_model"), "entities", "triples")
+
+
+def from_pages(pages: DataFrame, make: Callable[[], Extractor], embedder: Callable[[], Embedder] | None = None, most: int = 0) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """(nodes, edges, vectors, telemetry): graphs built from the texts of pages by an extractor, a page's entities before its triples, pages in order.
+
+    A page whose extraction fails is left out and counted; if all pages of all documents fail, the last error is raised. Responses are written
+    once, so that nothing is asked twice.
+    """
+    from leafmill import providers
+    from leafmill.session import materialised
+    from leafmill.sources import payloads
+
+    asked = materialised(providers.asked(usable_pages(pages, most), ["doc_id", "page"], "text", make))
+    told = telemetry(asked)
+    if (bad := asked.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.max("error").alias("e")).first())["ok"] == 0 and bad["e"]:
+        raise providers.ProviderError(bad["e"])
+    got = payloads.extracted(asked.where(F.col("error").isNull() & F.col("body").isNotNull()))
+    seq = lambda i: F.col("page").cast("long") * 1_000_000 + i
+    entities = got.select("doc_id", "page", F.posexplode("entities").alias("_i", "e")).select("doc_id", seq(F.col("_i")).alias("seq"), "page", "e.name", "e.type")
+    triples = got.select("doc_id", "page", F.posexplode("triples").alias("_i", "t")).select("doc_id", seq(F.col("_i")).alias("seq"), "page", "t.*")
+    node = materialised(nodes(mentions(triples, entities)))
+    edge = materialised(edges(triples, node))
+    vectors = providers.embedded(node_texts(node, edge), ["doc_id", "node_id"], "text", embedder) if embedder else None
+    return node, edge, vectors, told
+
+
 def telemetry(asked: DataFrame) -> DataFrame:
     """(doc_id, pages_built, pages_failed, last_error) of extraction responses (doc_id, page, error)."""
     bad = F.col("error").isNotNull()

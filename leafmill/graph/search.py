@@ -27,6 +27,18 @@ def vector_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.select("doc_id", "node_id", cosine01(F.col("vec"), q).alias("sem")).where(F.col("sem").isNotNull())
 
 
+def scores(node: DataFrame, vectors: DataFrame, text: str, query: list[float] | None) -> DataFrame:
+    """(doc_id, node_id, sem, mode): by vectors in documents of which every node has one of the query's length, else by words. `vectors`: (node_id, vec)."""
+    q = [float(x) for x in query or []]
+    usable = any(q)
+    once = vectors.where(F.col("vec").isNotNull()).groupBy("node_id").agg(F.max("vec").alias("vec"))
+    both = node.join(once, "node_id", "left").withColumn("_ok", F.coalesce(F.size("vec") == len(q), F.lit(False)) & F.lit(usable))
+    whole = F.min("_ok").over(Window.partitionBy("doc_id"))
+    by_words = jaccard(word_set(F.col("name")), word_set(F.lit(text or "")))
+    sem = F.when(whole, cosine01(F.col("vec"), F.array(*[F.lit(x) for x in q]))).otherwise(by_words) if usable else by_words
+    return both.select("doc_id", "node_id", sem.alias("sem"), F.when(whole, "vector").otherwise("lexical").alias("mode"))
+
+
 def seeds(scores: DataFrame, top_k: int = 6) -> DataFrame:
     """(doc_id, node_id, sem, rank): the best nodes of each document that score above 0; ties by id."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("sem"), "node_id"))

@@ -50,5 +50,32 @@ def sse_frames(events: DataFrame) -> DataFrame:
     """(job_id, seq, frame): events as server-sent frames, up to the first terminal one of each job."""
     end = F.min(F.when(F.col("type").isin(*TERMINAL), F.col("seq"))).over(Window.partitionBy("job_id"))
     once = events.dropDuplicates(["job_id", "seq"]).withColumn("_end", end).where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
-    body = F.to_json(F.struct("type", "page"), {"ignoreNullFields": "false"})
+    body = F.concat(F.lit('{"type":"'), F.col("type"), F.lit('","page":'), F.coalesce(F.col("page").cast("string"), F.lit("null")), F.lit(',"payload":'), F.coalesce("payload", F.lit("null")), F.lit("}"))
     return once.select("job_id", "seq", F.concat(F.lit("data: "), body, F.lit("\n\n")).alias("frame"))
+
+
+def controlled(states: DataFrame, commands: DataFrame) -> DataFrame:
+    """The states (job_id, status, last_ts) after commands (job_id, seq, ts, command): `delete` removes a job, `cancel` ends one that has not ended,
+    `touch` counts as use. Commands for unknown jobs and repeated ones change nothing; all are folded at once, so that their order of arrival does not matter."""
+    folded = commands.groupBy("job_id").agg(
+        F.max(F.col("command") == "delete").alias("_delete"), F.min(F.when(F.col("command") == "cancel", F.col("ts"))).alias("_cancel"),
+        F.max(F.when(F.col("command").isin("touch", "cancel"), F.col("ts"))).alias("_used"),
+    )
+    got = states.join(folded, "job_id", "left").where(~F.coalesce("_delete", F.lit(False)))
+    ended = F.col("status").isin(*TERMINAL)
+    return got.withColumn("status", F.when(F.col("_cancel").isNotNull() & ~ended, "cancelled").otherwise(F.col("status"))).withColumn("last_ts", F.greatest("last_ts", "_used")).drop("_delete", "_cancel", "_used")
+
+
+def runs(pages: DataFrame, cancels: DataFrame) -> DataFrame:
+    """(job_id, seq, type, page, processed, total): the events of running jobs over their pages in order: `progress` for each page, then `done`, or
+    `cancelled` before the first page that would begin after the cancel. `pages`: (job_id, page, ended); `cancels`: (job_id, at)."""
+    order = Window.partitionBy("job_id").orderBy("page")
+    total = F.count("*").over(Window.partitionBy("job_id"))
+    began = F.lag("ended").over(order)
+    stop = cancels.groupBy("job_id").agg(F.min("at").alias("_at"))
+    each = pages.select("job_id", "page", "ended", F.row_number().over(order).alias("processed"), total.alias("total"), began.alias("_began")).join(stop, "job_id", "left")
+    run = each.where(F.col("_at").isNull() | F.coalesce(F.col("_began") < F.col("_at"), F.lit(True)))
+    progress = run.select("job_id", F.col("processed").alias("seq"), F.lit("progress").alias("type"), "page", "processed", "total")
+    last = progress.groupBy("job_id").agg(F.max("processed").alias("processed"), F.max("total").alias("total"))
+    end = F.when(F.col("processed") < F.col("total"), "cancelled").otherwise("done")
+    return progress.unionByName(last.select("job_id", (F.col("processed") + 1).alias("seq"), end.alias("type"), F.lit(None).cast("int").alias("page"), "processed", "total"))

@@ -108,6 +108,19 @@ def json_rows(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.to_json(F.struct("page", "source", "status", "confidence", "text"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def json_documents(pages: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(doc_id, json): the JSON export of each document in one row: its file name, state and pages in order, without lines. For documents that do not fit into a value there is `json_rows`."""
+    of = jobs.groupBy(F.col("job_id").alias("doc_id")).agg(F.max("filename").alias("filename"), F.max("status").alias("status"), F.max("total_pages").alias("total_pages"))
+    each = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "source", "status", "confidence", "text"))).alias("pages"))
+    body = F.struct("filename", F.col("doc_id").alias("job_id"), "status", "total_pages", "pages")
+    return each.join(of, "doc_id", "left").select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def search_totals(pages: DataFrame, query: str) -> DataFrame:
+    """(doc_id, matches, pages): matches of a query in each document, and the pages that hold it."""
+    return search(pages, query).groupBy("doc_id").agg(F.sum("matches").alias("matches"), F.count("*").alias("pages"))
+
+
 def outline(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     """(doc_id, page, seq, kind, text): headings and paragraphs of the word-processor export."""
     name = jobs.groupBy(F.col("job_id").alias("doc_id")).agg(F.max("filename").alias("filename"))

@@ -55,20 +55,38 @@ def scored(lines: DataFrame) -> DataFrame:
 
 
 def evidence(scores: DataFrame, baseline: str) -> DataFrame:
-    """(config, composite, mean_conf, confident_lines, decision, recommended): averages over the pages and the choice. Equal composites go by name.
+    """(config, composite, mean_conf, confident_lines, decision, recommended): averages over the pages and the choice. Of equal composites the first of the grid counts.
 
     One row for each setting: the last window is over these few.
     """
     each = scores.groupBy("config").agg(F.avg("score").alias("_c"), F.round(F.avg("mean_conf"), 3).alias("mean_conf"), F.round(F.avg("n_conf"), 1).alias("confident_lines"))
     whole = Window.partitionBy(F.lit(1))
     base = F.max(F.when(F.col("config") == baseline, F.col("_c"))).over(whole)
-    best = F.max(F.when(F.col("config") != baseline, F.struct(F.col("_c").alias("c"), F.col("config").alias("n")))).over(whole)
+    best = F.max(F.when(F.col("config") != baseline, F.struct(F.col("_c").alias("c"), (-F.array_position(F.array(*[F.lit(g[0]) for g in GRID]), F.col("config"))).alias("o"), F.col("config").alias("n")))).over(whole)
     got = each.withColumns({"_base": base, "_best": best}).withColumn("_m", F.col("_best.c") - F.col("_base"))
     decision = F.when(F.col("_m") >= DECISIVE, "decisive").when(F.col("_m") >= MARGINAL, "marginal").otherwise("inconclusive")
     winner = F.when(F.col("_m") >= MARGINAL, F.col("_best.n")).otherwise(F.lit(baseline))
     return got.select("config", F.round("_c", 3).alias("composite"), "mean_conf", "confident_lines", decision.alias("decision"), (F.col("config") == winner).alias("recommended"))
 
 
+def suggested(choice: DataFrame, lang: str = "en") -> DataFrame:
+    """(decision, mode, lang, preprocess, binarize, margin, rationale, evidence): what `evidence` recommends, with the settings tried in order of their composites."""
+    order = F.array(*[F.lit(g[0]) for g in GRID])
+    place = F.array_position(order, F.col("config"))
+    tried = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("composite")).alias("c"), place.alias("o"), "config", "composite"))), lambda x: F.concat_ws("=", x["config"], F.round(x["composite"], 3).cast("string")))
+    row = choice.agg(
+        F.max("decision").alias("decision"), F.max(F.when(F.col("recommended"), F.col("config"))).alias("_w"), F.array_join(tried, " ").alias("evidence"),
+        F.max(F.when(F.col("recommended"), F.col("composite"))).alias("_top"), F.max(F.when(F.col("config") == GRID[0][0], F.col("composite"))).alias("_base"),
+    )
+    of = lambda k: F.element_at(F.array(*[F.lit(g[k]) for g in GRID]), F.array_position(order, F.col("_w")).cast("int"))
+    got = row.where(F.col("_w").isNotNull()).select("decision", of(1).alias("mode"), F.lit(lang).alias("lang"), of(2).alias("preprocess"), of(3).alias("binarize"), F.round(F.col("_top") - F.col("_base"), 3).alias("margin"), "evidence")
+    knobs = F.concat_ws(", ", F.when(F.col("binarize"), "binarisation on"), F.when(~F.col("preprocess"), "preprocessing off"), F.when(F.col("mode") == "fast", "faster mode"))
+    strength = F.when(F.col("decision") == "decisive", "clearly").otherwise("slightly")
+    said = F.concat(F.lit("On the sampled pages, "), F.coalesce(F.nullif(knobs, F.lit("")), F.lit("the default settings")), F.lit(" "), strength, F.lit(" outscored the default. Verify against the original."))
+    none = F.lit("No other settings clearly beat the default on the sampled pages; the default is recommended.")
+    return got.withColumn("rationale", F.when(F.col("decision") == "inconclusive", none).otherwise(said))
+
+
 def rationale(decision: str, margin: float, mode: str = "max", preprocess: bool = True, binarize: bool = False) -> str:
     """Why settings are recommended, in a sentence."""
     if decision == "inconclusive":

@@ -207,9 +207,18 @@ UNION ALL SELECT doc_id, page, 1, 'empty', '(no text on this page)' FROM b WHERE
         "q_reading_order_handwriting": _rows("+ h / 2", 8),
         "q_settings_scores": f"WITH {_SWEEP} SELECT page_id, config, round(mean_conf, 6) AS mean_conf, n_conf, mass, round(agree, 6) AS agree, round(score, 6) AS score FROM sc",
         "q_settings_choice": f"""WITH {_SWEEP}, e AS (SELECT config, avg(score) AS c, round(avg(mean_conf), 3) AS mean_conf, round(avg(n_conf), 1) AS confident_lines FROM sc GROUP BY 1),
-d AS (SELECT (SELECT max(c) FROM e WHERE config <> 'max_gray') - (SELECT c FROM e WHERE config = 'max_gray') AS m, (SELECT config FROM e WHERE config <> 'max_gray' ORDER BY c DESC, config DESC LIMIT 1) AS b)
+d AS (SELECT (SELECT max(c) FROM e WHERE config <> 'max_gray') - (SELECT c FROM e WHERE config = 'max_gray') AS m, (SELECT config FROM e WHERE config <> 'max_gray' ORDER BY c DESC, list_position(['max_gray', 'max_gray_raw', 'max_binarize', 'fast_gray'], config) LIMIT 1) AS b)
 SELECT config, round(c, 3) AS composite, mean_conf, confident_lines, CASE WHEN m >= 0.08::DOUBLE THEN 'decisive' WHEN m >= 0.03::DOUBLE THEN 'marginal' ELSE 'inconclusive' END AS decision,
 config = CASE WHEN m >= 0.03::DOUBLE THEN b ELSE 'max_gray' END AS recommended FROM e, d""",
+        "q_suggest": f"""WITH {_SWEEP}, e AS (SELECT config, avg(score) AS c, round(avg(mean_conf), 3) AS mean_conf, round(avg(n_conf), 1) AS confident_lines FROM sc GROUP BY 1),
+d AS (SELECT (SELECT max(c) FROM e WHERE config <> 'max_gray') - (SELECT c FROM e WHERE config = 'max_gray') AS m, (SELECT config FROM e WHERE config <> 'max_gray' ORDER BY c DESC, list_position(['max_gray', 'max_gray_raw', 'max_binarize', 'fast_gray'], config) LIMIT 1) AS b),
+ch AS (SELECT config, round(c, 3) AS composite, mean_conf, confident_lines, CASE WHEN m >= 0.08::DOUBLE THEN 'decisive' WHEN m >= 0.03::DOUBLE THEN 'marginal' ELSE 'inconclusive' END AS decision,
+config = CASE WHEN m >= 0.03::DOUBLE THEN b ELSE 'max_gray' END AS recommended FROM e, d),
+o AS (SELECT *, list_position(['max_gray', 'max_gray_raw', 'max_binarize', 'fast_gray'], config) AS o FROM ch)
+SELECT max(decision) AS decision, CASE WHEN max(config) FILTER (WHERE recommended) = 'fast_gray' THEN 'fast' ELSE 'max' END AS mode, 'en' AS lang, max(config) FILTER (WHERE recommended) <> 'max_gray_raw' AS preprocess,
+max(config) FILTER (WHERE recommended) = 'max_binarize' AS binarize, round(max(composite) FILTER (WHERE recommended) - max(composite) FILTER (WHERE config = 'max_gray'), 3) AS margin,
+string_agg(config || '=' || composite, ' ' ORDER BY composite DESC, o) AS evidence, CASE WHEN max(decision) = 'inconclusive' THEN 'No other settings clearly beat the default on the sampled pages; the default is recommended.'
+ELSE 'On the sampled pages, ' || CASE max(config) FILTER (WHERE recommended) WHEN 'max_binarize' THEN 'binarisation on' WHEN 'max_gray_raw' THEN 'preprocessing off' WHEN 'fast_gray' THEN 'faster mode' ELSE 'the default settings' END || CASE max(decision) WHEN 'decisive' THEN ' clearly' ELSE ' slightly' END || ' outscored the default. Verify against the original.' END AS rationale FROM o""",
         "q_sampled_pages": f"""WITH {PAGES}, h AS (SELECT doc_id, page, CASE WHEN source = 'text' THEN {layer} >= 50 ELSE false END AS has_text, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM p),
 b AS (SELECT *, coalesce(sum(CASE WHEN has_text THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h WHERE i <= 9)
 SELECT doc_id, page FROM b WHERE before < 2 AND NOT has_text""",
@@ -237,9 +246,23 @@ SELECT node_id, sem FROM s WHERE sem > 0 ORDER BY sem DESC, node_id LIMIT 50""",
 g AS (SELECT job_id, coalesce(arg_max(known, (seq, ts)) FILTER (WHERE known IS NOT NULL), 'pending') AS status, coalesce(max(pr) FILTER (WHERE type = 'progress'), 0) AS processed, coalesce(max(tt), 0) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY 1)
 SELECT *, CASE WHEN total > 0 THEN least(100, floor(100.0::DOUBLE * processed / total + 0.5)::INT) ELSE 0 END AS percent FROM g""",
         "q_job_pages": "SELECT job_id, page, max(seq) AS seq, arg_max(type, (seq, type)) AS type FROM job_events WHERE page IS NOT NULL GROUP BY 1, 2",
-        "q_job_frames": """WITH e AS (SELECT job_id, seq, any_value(type) AS type, any_value(page) AS page FROM job_events GROUP BY 1, 2),
+        "q_job_frames": """WITH e AS (SELECT job_id, seq, any_value(type) AS type, any_value(page) AS page, any_value(payload) AS payload FROM job_events GROUP BY 1, 2),
 x AS (SELECT *, min(CASE WHEN type IN ('done', 'error', 'cancelled') THEN seq END) OVER (PARTITION BY job_id) AS last FROM e)
-SELECT job_id, seq, 'data: ' || to_json({'type': type, 'page': page})::VARCHAR || chr(10) || chr(10) AS frame FROM x WHERE last IS NULL OR seq <= last""",
+SELECT job_id, seq, 'data: {"type":"' || type || '","page":' || coalesce(page::VARCHAR, 'null') || ',"payload":' || coalesce(payload, 'null') || '}' || chr(10) || chr(10) AS frame FROM x WHERE last IS NULL OR seq <= last""",
+        "q_export_documents": f"""WITH {PAGES}, n AS (SELECT job_id AS doc_id, max(filename) AS filename, max(status) AS status, max(total_pages) AS total_pages FROM jobs GROUP BY 1)
+SELECT p.doc_id, to_json({{'filename': any_value(n.filename), 'job_id': p.doc_id, 'status': any_value(n.status), 'total_pages': any_value(n.total_pages),
+ 'pages': list({{'page': page, 'source': source, 'status': p.status, 'confidence': confidence, 'text': text}} ORDER BY page)}})::VARCHAR AS json FROM p LEFT JOIN n ON n.doc_id = p.doc_id GROUP BY p.doc_id""",
+        "q_graph_documents": f"""WITH {_GRAPH}, f AS (SELECT job_id AS doc_id, max(filename) AS filename FROM jobs GROUP BY 1),
+en AS (SELECT doc_id, count(*) AS n, to_json(list({{'name': name, 'type': type, 'pages': pages, 'degree': degree}} ORDER BY node_id))::VARCHAR AS j FROM dg GROUP BY 1),
+tr AS (SELECT doc_id, count(*) AS n, to_json(list({{'subject': subject, 'predicate': predicate, 'object': object, 'page': page}} ORDER BY seq))::VARCHAR AS j FROM ed GROUP BY 1)
+SELECT en.doc_id, filename, en.n AS num_nodes, coalesce(tr.n, 0) AS num_edges, 'none' AS embed_model, en.j AS entities, coalesce(tr.j, '[]') AS triples FROM en LEFT JOIN tr USING (doc_id) LEFT JOIN f USING (doc_id)""",
+        "q_search_total": f"""WITH {PAGES}, l AS (SELECT doc_id, page, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line FROM p), m AS (SELECT doc_id, page, sum((length(line) - length(replace(line, '{PHRASE}', ''))) // {len(PHRASE)})::BIGINT AS k FROM l GROUP BY 1, 2)
+SELECT doc_id, sum(k)::BIGINT AS matches, count(*) AS pages FROM m WHERE k > 0 GROUP BY 1""",
+        "q_graph_seeds": f"""WITH n AS (SELECT DISTINCT doc_id, node_id, name FROM kg_nodes), v AS (SELECT node_id, max(vec) AS vec FROM kg_vectors WHERE vec IS NOT NULL GROUP BY 1), q AS (SELECT arg_min(vec, node_id)::DOUBLE[] AS q FROM v),
+j AS (SELECT n.*, vec::DOUBLE[] AS vec FROM n LEFT JOIN v USING (node_id)), m AS (SELECT doc_id, CASE WHEN bool_and(vec IS NOT NULL AND len(vec) = len(q)) THEN 'vector' ELSE 'lexical' END AS mode FROM j, q GROUP BY 1),
+s AS (SELECT doc_id, node_id, mode, round(CASE WHEN mode = 'vector' THEN (CASE WHEN list_sum(list_transform(vec, lambda x: x * x)) = 0 THEN 0 ELSE list_cosine_similarity(vec, q) END + 1) / 2
+ WHEN len(ws) = 0 OR len(qs) = 0 THEN 0 ELSE len(list_intersect(ws, qs))::DOUBLE / len(list_distinct(list_concat(ws, qs))) END, 6) AS sem FROM (SELECT *, {_word_set('name')} AS ws, {_word_set("'" + GRAPH_QUERY + "'")} AS qs FROM j JOIN m USING (doc_id), q))
+SELECT doc_id, mode, node_id, sem, row_number() OVER (PARTITION BY doc_id ORDER BY sem DESC, node_id)::INT AS rank FROM s WHERE sem > 0 QUALIFY rank <= 6""",
         "q_jobs_evicted": f"""WITH g AS (SELECT job_id, arg_max(type, (seq, ts)) FILTER (WHERE type IN ('done', 'error', 'cancelled', 'progress')) AS status, max(ts) AS last_ts FROM job_events GROUP BY 1),
 d AS (SELECT *, epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_ts) AS age FROM g WHERE status IN ('done', 'error', 'cancelled')),
 f AS (SELECT *, row_number() OVER (ORDER BY last_ts DESC, job_id DESC) AS r FROM d WHERE age <= 172800000000)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill import providers
 from leafmill.functions import scalars, text
 from leafmill.functions.vector import cosine01
 from leafmill.graph import build, search
 from leafmill.operators import headers, jobs, layout, nested, pages, recommend
+from leafmill.session import materialised
 from leafmill.sources import payloads
 from leafmill.sources.tables import table
 
@@ -102,6 +104,14 @@ def q_export_json(spark: SparkSession, folder: str) -> DataFrame:
     return pages.json_rows(_pages(spark, folder))
 
 
+def q_export_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.json_documents(_pages(spark, folder), table(spark, folder, "jobs"))
+
+
+def q_search_total(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.search_totals(_pages(spark, folder), PHRASE)
+
+
 def q_outline(spark: SparkSession, folder: str) -> DataFrame:
     return pages.outline(_pages(spark, folder), table(spark, folder, "jobs"))
 
@@ -147,6 +157,10 @@ def q_settings_choice(spark: SparkSession, folder: str) -> DataFrame:
     return recommend.evidence(recommend.scored(_sweep(spark, folder)), "max_gray")
 
 
+def q_suggest(spark: SparkSession, folder: str) -> DataFrame:
+    return recommend.suggested(recommend.evidence(recommend.scored(_sweep(spark, folder)), "max_gray"))
+
+
 def q_born_digital(spark: SparkSession, folder: str) -> DataFrame:
     return recommend.born_digital(_pages(spark, folder).select("doc_id", "page", text.has_text_layer(F.when(F.col("source") == "text", F.col("text"))).alias("has_text")))
 
@@ -188,14 +202,40 @@ def q_graph_summary(spark: SparkSession, folder: str) -> DataFrame:
     return build.summary(*_graph(spark, folder))
 
 
-def q_graph_search(spark: SparkSession, folder: str) -> DataFrame:
+def q_graph_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return build.documents(*_graph(spark, folder), table(spark, folder, "jobs"))
+
+
+def q_graph_build(spark: SparkSession, folder: str) -> DataFrame:
+    """Graphs built by the stand-in extractor from the texts of pages."""
+    node, edge, _, _ = build.from_pages(_pages(spark, folder), providers.PatternExtractor)
+    return build.with_degree(node, edge).select("doc_id", "node_id", "name", "type", "degree")
+
+
+def q_graph_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Seeds in the graphs as stored: by vectors where all nodes have one, else by words."""
+    v = table(spark, folder, "kg_vectors")
+    first = v.where(F.col("vec").isNotNull()).agg(F.min_by("vec", F.struct("node_id", F.transform("vec", lambda x: -x)))).first()[0]
+    node = table(spark, folder, "kg_nodes").select("doc_id", "node_id", "name").distinct()
+    scored_ = search.scores(node, v, GRAPH_QUERY, first).withColumn("sem", F.round("sem", 6))
+    return search.seeds(scored_).select("doc_id", "mode", "node_id", "sem", "rank")
+
+
+def _stored_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges written once, as a search reads them level after level."""
     node, edge = _graph(spark, folder)
+    node = materialised(node)
+    return node, materialised(build.edges(table(spark, folder, "kg_triples"), node))
+
+
+def q_graph_search(spark: SparkSession, folder: str) -> DataFrame:
+    node, edge = _stored_graph(spark, folder)
     got = search.answers(node, edge, search.lexical_scores(node, GRAPH_QUERY))
     return got.select("doc_id", "rank", "name", "type", "score", "similarity", "hops", _joined("pages").alias("pages"), _joined("chain").alias("chain"), _joined("path_pages").alias("path_pages"), _joined("facts").alias("facts"))
 
 
 def q_graph_search_support(spark: SparkSession, folder: str) -> DataFrame:
-    node, edge = _graph(spark, folder)
+    node, edge = _stored_graph(spark, folder)
     return search.supporting(search.answers(node, edge, search.lexical_scores(node, GRAPH_QUERY)), edge)
 
 
@@ -242,8 +282,8 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             p3_found, p3_jobs, p3_pages, p3_lines, p3_alternatives, q_best_pages, q_text_layer, q_page_route, q_header_keys, q_strip_headers, q_strip_headers_low, q_line_confidence, q_page_labels, q_search,
-            q_export_txt, q_export_md, q_export_copy, q_export_json, q_outline, q_realign, q_reading_order, q_reading_order_handwriting, q_settings_scores, q_settings_choice, q_sampled_pages, q_born_digital,
-            q_graph_nodes, q_graph_edges, q_graph_texts, q_graph_json, q_graph_strongest, q_graph_summary, q_graph_search, q_graph_search_support, q_vector_seeds,
+            q_export_txt, q_export_md, q_export_copy, q_export_json, q_export_documents, q_search_total, q_outline, q_realign, q_reading_order, q_reading_order_handwriting, q_settings_scores, q_settings_choice, q_suggest, q_sampled_pages, q_born_digital,
+            q_graph_nodes, q_graph_edges, q_graph_texts, q_graph_json, q_graph_documents, q_graph_build, q_graph_seeds, q_graph_strongest, q_graph_summary, q_graph_search, q_graph_search_support, q_vector_seeds,
             q_job_state, q_job_pages, q_job_frames, q_jobs_evicted, q_payload_triples, q_filenames,
         )
     }

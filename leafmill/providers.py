@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Texts of a request for embeddings; codes after which a request is tried again.
 BATCH = 100
 RETRY_CODES = (429, 503)
 
@@ -91,6 +92,18 @@ class PatternExtractor:
         return out
 
 
+def embed_all(provider: Embedder, texts: list[str], sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
+    """Embeddings of some texts: in one request, else one by one where the service cannot take several or answers with too few; busy services are tried again."""
+    try:
+        got = with_retries(lambda: provider.embed(texts), sleep=sleep)
+        if len(got) == len(texts) and all(len(v) for v in got):
+            return got
+    except ProviderError as e:
+        if e.code in (401, 403, *RETRY_CODES):
+            raise
+    return [with_retries(lambda t=t: provider.embed([t]), sleep=sleep)[0] for t in texts]
+
+
 def embedded(df: DataFrame, keys: list[str], text: str, make: Callable[[], Embedder]) -> DataFrame:
     """(keys, vec): an embedding of each text, asked for in batches; null texts count as empty."""
     types = dict(df.dtypes)
@@ -99,7 +112,7 @@ def embedded(df: DataFrame, keys: list[str], text: str, make: Callable[[], Embed
         provider = make()
         for b in batches:
             texts = [t or "" for t in b[text]]
-            vec = [v for i in range(0, len(texts), BATCH) for v in provider.embed(texts[i : i + BATCH])]
+            vec = [v for i in range(0, len(texts), BATCH) for v in embed_all(provider, texts[i : i + BATCH])]
             yield b[keys].assign(vec=vec)
 
     return df.select(*keys, text).mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", vec array<double>")
@@ -115,7 +128,7 @@ def asked(df: DataFrame, keys: list[str], text: str, make: Callable[[], Extracto
             bodies, errors = [], []
             for t in b[text]:
                 try:
-                    bodies.append(provider.extract([t[:most_chars]])[0] if t and t.strip() else None)
+                    bodies.append(with_retries(lambda t=t: provider.extract([t[:most_chars]]))[0] if t and t.strip() else None)
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001
                     bodies.append(None)

@@ -23,6 +23,42 @@ def response_status(body: Column) -> Column:
     return F.when(v.isNull(), "unreadable").when(F.try_variant_get(v, "$.candidates[0]", "variant").isNotNull(), "ok").when(reason.isNotNull(), F.concat(F.lit("blocked: "), reason)).otherwise("no candidates")
 
 
+def transcription(body: Column) -> Column:
+    """(text, error) of a recognition response: partial text counts; blank text is an error that names why the service stopped, if it says so."""
+    v = F.try_parse_json(body)
+    reason = F.try_variant_get(v, "$.candidates[0].finishReason", "string")
+    text, state = response_text(body), response_status(body)
+    blank = F.coalesce(strip(text) == "", F.lit(True))
+    why = F.when(state != "ok", state).when(blank & reason.isNotNull() & (reason != "STOP"), F.concat(F.lit("no text: "), reason)).when(blank, "empty transcription")
+    return F.struct(F.when(why.isNull(), text).alias("text"), why.alias("error"))
+
+
+#: States of a service by code, where its answer names none.
+STATES = {401: "PERMISSION_DENIED", 403: "PERMISSION_DENIED", 429: "RESOURCE_EXHAUSTED", 400: "INVALID_ARGUMENT", 404: "NOT_FOUND", 500: "UNAVAILABLE", 503: "UNAVAILABLE", 504: "UNAVAILABLE"}
+
+
+def http_error(code: Column, body: Column, reason: Column) -> Column:
+    """(kind, state, detail) of a failed request: what the body of the answer says, else the reason of the status line. Bodies that are no JSON say nothing."""
+    from leafmill.functions.scalars import http_failure
+
+    v = F.try_parse_json(body)
+    said = lambda name: F.nullif(strip(F.try_variant_get(v, f"$.error.{name}", "string")), F.lit(""))
+    usual = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
+    return F.struct(http_failure(code).alias("kind"), F.coalesce(said("status"), F.try_element_at(usual, code.cast("int")), F.lit("ERROR")).alias("state"), F.coalesce(said("message"), F.nullif(reason, F.lit("")), F.lit("no detail provided")).alias("detail"))
+
+
+def export_pages(posted: DataFrame, body: str = "body") -> DataFrame:
+    """(doc, filename, page_at, page, source, confidence, text) of a posted export, whatever its shape: a body that is no list gives no row, elements that
+    are no objects are skipped, pages that are no list are none (a row with null `page_at` remains for the title)."""
+    v = F.try_parse_json(F.col(body))
+    docs = posted.select(F.posexplode(F.try_variant_get(v, "$", "array<variant>")).alias("doc", "_d")).where(F.schema_of_variant("_d").startswith("OBJECT"))
+    pages = F.filter(F.coalesce(F.try_variant_get("_d", "$.pages", "array<variant>"), F.array().cast("array<variant>")), lambda p: F.schema_of_variant(p).startswith("OBJECT"))
+    get = lambda name, kind: F.try_variant_get("_p", f"$.{name}", kind)
+    number = F.schema_of_variant(F.try_variant_get("_p", "$.confidence", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    each = docs.select("doc", F.coalesce(F.nullif(F.try_variant_get("_d", "$.filename", "string"), F.lit("")), F.lit("Document")).alias("filename"), F.posexplode_outer(pages).alias("page_at", "_p"))
+    return each.select("doc", "filename", "page_at", get("page", "string").alias("page"), get("source", "string").alias("source"), F.when(number, get("confidence", "double")).alias("confidence"), F.coalesce(get("text", "string"), F.lit("")).alias("text"))
+
+
 def _field(v: Column, name: str) -> Column:
     return strip(F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")))
 
