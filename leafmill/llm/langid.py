@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import canonical, mojibake
-from leafmill.session import bounded_sample
 from leafmill.sources.tables import page_counts
 
 BUCKETS = 1 << 15
@@ -184,13 +183,21 @@ def named_languages(jobs: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def training_sample(pages: DataFrame, jobs: DataFrame, codes: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `size` pages, picked by hash, with the language their job names; only the picked keys are broadcast to find their labels."""
-    rows = bounded_sample(page_counts(pages).select("doc_id", "page", F.col("text").alias("_text")), ["doc_id", "page"], size).collect()
-    spark = pages.sparkSession
-    docs = sorted({r["doc_id"] for r in rows if r["doc_id"] is not None})
-    keys = spark.createDataFrame([(d,) for d in docs], "doc_id string")
-    labels = dict(named_languages(jobs.join(F.broadcast(keys), F.col("job_id") == F.col("doc_id"), "left_semi"), codes).collect())
-    return [(r["_text"], labels.get(r["doc_id"], "")) for r in rows]
+    """At most `size` pages with the language their job names, picked by hash; a third of them are shared out evenly among the languages named, so that rare ones are met."""
+    named = named_languages(jobs, codes).groupBy("doc_id").agg(F.min("code").alias("_label"))
+    kept = page_counts(pages).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+    labelled = kept.select("doc_id", "page").join(named, "doc_id", "left").withColumn("_label", F.coalesce("_label", F.lit("")))  # keys only
+    counts = dict(labelled.groupBy("_label").count().collect())  # a row for each language
+    whole = sum(counts.values())
+    if not whole:
+        return []
+    share = {label: min(1.0, 1.2 * max(size * 2 / 3 / whole, size / 3 / len(counts) / n)) for label, n in counts.items()}
+    bound = F.create_map(*[F.lit(x) for label, x in share.items() for x in (label, x * 1_000_000)])[F.col("_label")]
+    thin = labelled.distinct().withColumn("_h", F.pmod(F.xxhash64("doc_id", "page"), F.lit(1_000_000))).where(F.col("_h") < bound)
+    keys = thin.withColumn("_p", F.col("_h") / bound).orderBy("_p", "doc_id", "page").limit(size).select("doc_id", "page", "_label").collect()
+    picked = pages.sparkSession.createDataFrame([(r["doc_id"], r["page"], r["_label"]) for r in keys], "doc_id string, page int, _label string")
+    rows = kept.select("doc_id", "page", F.col("text").alias("_text")).join(F.broadcast(picked), ["doc_id", "page"]).dropDuplicates(["doc_id", "page"])
+    return [(r["_text"], r["_label"]) for r in rows.orderBy("doc_id", "page").collect()]
 
 
 def stretches(df: DataFrame, keys: list[str], model: Model, text: str = "text") -> DataFrame:

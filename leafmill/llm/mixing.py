@@ -103,9 +103,10 @@ def plan(counts: DataFrame, targets: DataFrame, size: int, lane_tokens: int, tot
     slots = int(min(math.floor(c / x) for c, x in zip(cap, w, strict=True)))
     while slots > 0 and np.any(slots * w + 3 * np.sqrt(slots * w * (1 - w)) > cap):  # room for the draw
         slots = min(slots - 1, int(slots * 0.995))
+    slots = max(slots, 1)  # every source has room for one
     if total_tokens is not None:
         slots = min(slots, total_tokens // size)
-    return Plan([g[0] for g in got], w, n, cap, max(slots, 1))
+    return Plan([g[0] for g in got], w, n, cap, slots)
 
 
 def blocks_per_source(counts: DataFrame, size: int, lane_tokens: int) -> DataFrame:
@@ -115,6 +116,26 @@ def blocks_per_source(counts: DataFrame, size: int, lane_tokens: int) -> DataFra
     return lanes.groupBy("source").agg(F.sum(F.ceil(F.col("t") / size)).alias("blocks"), F.sum("t").alias("tokens"))
 
 
+def moves(drawn: list[int], capacity: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(source, begin, end, other source, start): slots [begin, end) of a source, which lie beyond its capacity, become those of another from `start` on, the
+    one with most room first. Every slot finds a place, as there are no more slots than all capacities together."""
+    room = {s: c - n for s, (n, c) in enumerate(zip(drawn, capacity, strict=True)) if n < c}
+    used = dict(enumerate(drawn))
+    out = []
+    for s, (n, c) in enumerate(zip(drawn, capacity, strict=True)):
+        at = c
+        while at < n and room:
+            to = max(room, key=lambda x: (room[x], -x))
+            k = min(n - at, room[to])
+            out.append((s, at, at + k, to, used[to]))
+            used[to] += k
+            room[to] -= k
+            if not room[to]:
+                del room[to]
+            at += k
+    return out
+
+
 def slots_of(spark, p: Plan, shard_slots: int, seed: int) -> DataFrame:  # noqa: ANN001
     """(shard, position, source, repeat, block): every slot of the mix."""
     shards = math.ceil(p.slots / shard_slots)
@@ -131,6 +152,8 @@ def slots_of(spark, p: Plan, shard_slots: int, seed: int) -> DataFrame:  # noqa:
                 yield pd.concat(out)
 
     drawn = spark.range(shards).mapInPandas(draw, "shard long, s int, n long")
+    totals = dict(drawn.groupBy("s").agg(F.sum("n")).collect())  # a row for each target
+    moved = moves([totals.get(s, 0) for s in range(len(sources))], p.capacity.tolist())
     before = F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     inner = F.sum("n").over(Window.partitionBy("shard").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
     numbered = drawn.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("inner", F.coalesce(inner, F.lit(0)))
@@ -139,15 +162,18 @@ def slots_of(spark, p: Plan, shard_slots: int, seed: int) -> DataFrame:  # noqa:
         for b in batches:
             for r in b.itertuples():
                 at = r.before + np.arange(r.n, dtype=np.int64)
-                at = at[at < p.capacity[r.s]]
-                n = int(p.blocks[r.s])
-                repeat = at // n
+                of = np.full(len(at), r.s)
+                for s, begin, end, to, start in moved:  # what is beyond the capacity of its source
+                    if s == r.s:
+                        here = (at >= begin) & (at < end) & (of == s)
+                        of[here], at[here] = to, at[here] - begin + start
+                repeat = at // p.blocks[of]
                 block = np.empty(len(at), dtype=np.int64)
-                for e in np.unique(repeat):
-                    here = repeat == e
-                    block[here] = permute(at[here] % n, n, (seed << 20) + int(e) ^ int.from_bytes(hashlib.blake2b(sources[r.s].encode(), digest_size=6).digest(), "little"))
+                for s, e in {*zip(of.tolist(), repeat.tolist(), strict=True)}:
+                    here, n = (of == s) & (repeat == e), int(p.blocks[s])
+                    block[here] = permute(at[here] % n, n, (seed << 20) + int(e) ^ int.from_bytes(hashlib.blake2b(sources[s].encode(), digest_size=6).digest(), "little"))
                 place = permute(r.inner + np.arange(len(at), dtype=np.int64), shard_slots, seed * 1_000_003 + int(r.shard))
-                yield pd.DataFrame({"shard": r.shard, "position": place.astype(np.int32), "source": sources[r.s], "repeat": (repeat + 1).astype(np.int32), "block": block})
+                yield pd.DataFrame({"shard": r.shard, "position": place.astype(np.int32), "source": pd.Series([sources[s] for s in of], dtype=object), "repeat": (repeat + 1).astype(np.int32), "block": block})
 
     return numbered.mapInPandas(spread, "shard long, position int, source string, repeat int, block long")
 
@@ -161,7 +187,7 @@ def mix(documents: DataFrame, targets: DataFrame, folder: str = tokens.FOLDER, s
     counts = checkpoint(token_counts(documents, targets, folder))
     p = plan(counts, targets, size, lane_tokens, total_tokens)
     blocks = blocks_of(counts, size, lane_tokens)
-    if not p.sources:
+    if not p.sources or not p.slots:
         return blocks.select(F.lit(0).cast("long").alias("shard"), F.lit(0).alias("position"), "source", F.lit(0).alias("repeat"), "block", "n_tokens", "pieces").limit(0)
     slots_and_blocks = slots_of(documents.sparkSession, p, shard_slots, seed).hint("shuffle_merge").join(blocks, ["source", "block"])  # its size is not seen in the plan
     return slots_and_blocks.select("shard", "position", "source", "repeat", "block", "n_tokens", "pieces")

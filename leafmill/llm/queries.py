@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leafmill.llm import canonical, langid, mixing, mojibake, names, neighbours, scans, sentences, tokens
 from leafmill.sources.tables import page_counts, table
@@ -52,6 +53,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.found(table(spark, folder, "kg_vectors"))
 
 
+def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """(node, rank, other, cosine): the five most similar vectors of each, of cosine 0.88 and more."""
+    best = neighbours.most_similar(table(spark, folder, "kg_vectors"), 5, 0.88)
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("cosine"), "other"))
+    return best.select("node", rank.alias("rank"), "other", F.round("cosine", 6).alias("cosine"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.found(table(spark, folder, "kg_nodes"))
 
@@ -64,6 +72,12 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p9_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix as token ids, ready to be written."""
+    documents = table(spark, folder, "documents")
+    return mixing.materialised(p9_mix(spark, folder), documents)
+
+
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
 
@@ -72,8 +86,13 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.found(table(spark, folder, "documents"))
 
 
+def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return sentences.sentence_texts(documents, ["doc_id"], sentences.trained(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_restored, p4_found, p4_text, p5_found, p5_canonical, p6_found, p7_found, p8_ids, p9_mix, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_restored, p4_found, p4_text, p5_found, p5_canonical, p6_found, p6_neighbours, p7_found, p8_ids, p9_mix, p9_ids, p9_shares, p10_found, p10_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:

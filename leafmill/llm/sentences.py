@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -327,27 +328,37 @@ class Splitter:
             got = self.made[d] = sure if sure is not None else bool(self.w[features(d)].sum() > 0)
         return got
 
-    def ends(self, text: str) -> list[int]:
-        """Ends of the sentences of a document, in its own code points."""
+    def sentences(self, text: str) -> list[tuple[int, str]]:
+        """(end in the document's own code points, sentence in one line) of a document; an advert is the text of its cue."""
         clean, widths = mojibake.restored_with_widths(text) if not text.isascii() else (text, None)
         stream = read(clean)
-        s, out = stream.text, []
+        s, out = stream.text, {}
         if unmarked(s):
-            out += [stream.origin(m.end() - 1) + 1 for m in re.finditer(r"[^\s\x1c\x1d]+", s) if _LETTER.search(m.group())]
+            out = {stream.origin(m.end() - 1) + 1: m.group() for m in re.finditer(r"[^\s\x1c\x1d]+", s) if _LETTER.search(m.group())}
         else:
             last = 0
             for end, d in candidates(s):
                 if self.decide(d) and _LETTER.search(s, last, end):
-                    out.append(stream.origin(end - 1) + 1)
+                    out[stream.origin(end - 1) + 1] = s[last:end]
                     last = end
             rest = s[last:].rstrip(" \n\r\t\x1c\x1d")
             if _LETTER.search(rest):
-                out.append(stream.origin(last + len(rest) - 1) + 1)
-        out = sorted({*out, *stream.adverts})
+                out[stream.origin(last + len(rest) - 1) + 1] = rest
+        for end in stream.adverts:
+            begin = max(clean.rfind(gap, 0, end) + len(gap) for gap in ("\n\n", "\r\n\r\n"))
+            out.setdefault(end, "\n".join(x for x in clean[max(begin, 0) : end].split("\n") if not _TIMES.match(x) and not x.strip().isdigit()))
+        found = sorted((end, " ".join(_GAPS.sub(" ", x).split())) for end, x in out.items())
         if widths is not None:
             at = np.concatenate([[0], np.cumsum(widths)])
-            out = [int(at[e]) for e in out]
-        return out
+            found = [(int(at[end]), x) for end, x in found]
+        return found
+
+    def ends(self, text: str) -> list[int]:
+        """Ends of the sentences of a document, in its own code points."""
+        return [end for end, _ in self.sentences(text)]
+
+
+_GAPS = re.compile(r"[\x1c\x1d]")
 
 
 def trained(documents: DataFrame, text: str = "text") -> np.ndarray:
@@ -373,6 +384,25 @@ def ends(documents: DataFrame, keys: list[str], weights: np.ndarray, text: str =
     return kept.mapInPandas(split, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", end_pos int")
 
 
+def sentence_texts(documents: DataFrame, keys: list[str], weights: np.ndarray, text: str = "text") -> DataFrame:
+    """(keys, no, end_pos, sentence): every sentence of every document in one line, `no` from 1, without tags, sounds and labels. Null, empty and blank texts give no rows."""
+    sent = documents.sparkSession.sparkContext.broadcast(weights)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(sent.value)
+        for b in batches:
+            got = [(k, no, end, x) for k, t in enumerate(b.column(len(keys)).to_pylist()) for no, (end, x) in enumerate(splitter.sentences(t), 1)]
+            if got:
+                at, no, end, x = zip(*got, strict=True)
+                rows = pa.array(at, pa.int64())
+                made = [pa.array(no, pa.int32()), pa.array(end, pa.int32()), pa.array([y.encode("utf-8", "replace").decode() for y in x], pa.string())]
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(rows) for i in range(len(keys))], *made], names=[*keys, "no", "end_pos", "sentence"])
+
+    types = dict(documents.dtypes)
+    kept = documents.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    return kept.mapInArrow(split, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", no int, end_pos int, sentence string")
+
+
 def found(documents: DataFrame) -> DataFrame:
     """(doc_id, end_pos) of every sentence of every document; `doc_id` is unique, so that rows are distinct."""
     return ends(documents, ["doc_id"], trained(documents))

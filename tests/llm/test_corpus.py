@@ -124,3 +124,23 @@ def test_empty_mix(spark):
     docs, targets = corpus(spark)
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
     assert mixing.mix(docs, targets, size=32, total_tokens=320, shard_slots=4).count() == 10
+
+
+def test_slots_beyond_a_capacity_move():
+    from leafmill.llm import mixing
+
+    got = mixing.moves([10, 5, 30], [8, 9, 20])
+    taken = {s: set(range(min(n, c))) for s, (n, c) in enumerate(zip([10, 5, 30], [18, 9, 20]))}
+    assert mixing.moves([1, 2], [3, 2]) == [] and sum(e - b for _, b, e, _, _ in got) == 4  # what has room
+    got = mixing.moves([10, 5, 22], [8, 9, 30])
+    assert got == [(0, 8, 10, 2, 22)] and taken
+
+
+def test_sentences_have_their_texts(spark):
+    from leafmill.llm import sentences
+
+    text = "1\n00:00:01,000 --> 00:00:02,000\n<i>We left at\n\n2\n00:00:03,000 --> 00:00:04,000\nnine.</i> [door] Then it rained.\n"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (1, text)], "doc_id long, text string")
+    weights = sentences.train([text] * 5)
+    got = sorted((r["no"], r["end_pos"], r["sentence"]) for r in sentences.sentence_texts(df, ["doc_id"], weights).distinct().collect())
+    assert [g[2] for g in got] == ["We left at nine.", "Then it rained."] and [text[: g[1]][-1] for g in got] == [".", "."]
