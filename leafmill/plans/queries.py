@@ -35,20 +35,30 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.found_lines(table(spark, folder, "job_dumps"))
 
 
+def _dump_table(spark: SparkSession, folder: str, name: str, usual: dict[str, str]) -> DataFrame:
+    """A flat table of the dumps with the columns of its merged schema; usual ones that no record has are null, and have the same type always."""
+    made = nested.flatten_dumps(table(spark, folder, "job_dumps"), (name,))
+    df = made.get(name)
+    if df is None:
+        schema = ", ".join(f"`{c}` {t}" for c, t in ({"dump_id": "long", f"{name}_key": "string", "parent_key": "string", "ordinal": "int"} | usual).items())
+        return spark.createDataFrame([], schema)
+    return df.select(*[c for c in df.columns if c not in usual], *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in usual.items()])
+
+
 def p3_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.flatten_dumps(table(spark, folder, "job_dumps"), ("job",))["job"]
+    return _dump_table(spark, folder, "job", {"error": "string", "filename": "string", "job_id": "string", "meta_version": "long", "processed_pages": "long", "status": "string", "total_pages": "long"})
 
 
 def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.flatten_dumps(table(spark, folder, "job_dumps"), ("page",))["page"]
+    return _dump_table(spark, folder, "page", {"confidence": "string", "error": "string", "page": "string", "source": "string", "status": "string", "text": "string"})
 
 
 def p3_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.flatten_dumps(table(spark, folder, "job_dumps"), ("line",))["line"]
+    return _dump_table(spark, folder, "line", {"page_no": "int", "confidence": "double", "text": "string"})
 
 
 def p3_alternatives(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.flatten_dumps(table(spark, folder, "job_dumps"), ("pages_lines_alternatives",))["pages_lines_alternatives"]
+    return _dump_table(spark, folder, "pages_lines_alternatives", {"page_no": "int", "line_no": "int", "confidence": "double", "text": "string"})
 
 
 def q_best_pages(spark: SparkSession, folder: str) -> DataFrame:
