@@ -212,3 +212,17 @@ def test_whole_tables_are_registered(spark, tmp_path):
     assert [(r["page"], r["restored"]) for r in made["p2_restored"](spark, str(tmp_path)).collect()] == [(3, "café here")]
     got = {(r["place"], r["num"], r["field"]): r["canonical"] for r in made["p5_canonical"](spark, str(tmp_path)).collect()}
     assert got[("page", 1, "text")] == "wide text" and got[("triple", 7, "subject")] == "a" and got[("triple", 7, "object")] is None and len(got) == 6
+
+
+def test_words_beyond_the_broadcast_count(spark):
+    from leafmill.llm import scans
+
+    line = "the harbour committee reports several com-\nplete volumes of measured water levels and hydrology"
+    bad = line.replace("hydrology", "hydroiogy").replace("several", "scveral")
+    rows = [("d", i, "ocr", line, "done", None, None, None) for i in range(8)] + [("d", 90, "ocr", bad, "done", None, None, None), ("d", 91, "text", "complete", "done", None, None, None)]
+    rows += [("d", 100 + i, "text", "complete volumes", "done", None, None, None) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id string, page int, source string, text string, status string, error string, confidence double, lines array<struct<text:string,confidence:double>>")
+    whole, part = scans.vocabulary(df), scans.vocabulary(df, 3)
+    assert whole.rest is None and part.rest is not None and len(part.words) <= 3
+    want = {tuple(r) for r in scans.line_kinds(df, whole).collect()}
+    assert ("d", 90, 1, "misread") in want and {tuple(r) for r in scans.line_kinds(df, part).collect()} == want
