@@ -4,23 +4,29 @@
    under every word it has, each with a second sign: the initial of another word, or the kind of organisation.
 2. A symmetric-delete index over the words of a job (each word and all its forms with one letter left out) finds the words that are one
    edit apart. A name is sent under each word it has and under every more frequent neighbour of that word, so that any two words an edit apart meet.
+   Persons also come under what their words may be short for and under the ends of each two words, organisations under the starts of two words and
+   under all letters: where nicknames, misspelled initials, abbreviations or gaps leave no word in common.
 3. The full names that meet are aligned: their words are assigned to each other at least cost, where equal words, small edits, nicknames, initials
    and abbreviations match; names are one if every word of the shorter matches. Candidates come from an inner index of the other words, so that
    names of one family or of one given name are never all compared. Links make entities by hooking and pointer jumping over all jobs at once.
 4. Short forms (an initial and a family word, a title and a family word, an organisation without its field, acronyms, abbreviated own words)
    belong to an entity only if just one of the job fits; those that fit none belong together if they are equal.
 
-Numbers in a name must be equal. No word is too common, too short or too rare to count.
+Numbers in a name must be equal. No word is too common, too short or too rare to count, and no name has too many words: running text (more than
+`TEXT_WORDS` words) is linked where all its words are assigned to those of the other at the same costs, or where only its gaps differ (`alike`).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
 from typing import NamedTuple
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +38,8 @@ from leafmill.session import checkpoint, materialised
 #: Titles, and words that say nothing.
 TITLES = frozenset("dr mr ms mrs miss prof sir herr frau mme".split())
 FILLERS = frozenset("the of for and ltd inc plc gmbh llc de la du des der die das von".split())
+#: Fillers that are known misspelled, too.
+MISSPELLED = ("and", "the", "for")
 #: Words of organisations with their abbreviations.
 ORGANISATIONS = {
     "company": "co comp", "corporation": "corp", "society": "soc", "department": "dept dep", "association": "assoc assn", "university": "univ uni",
@@ -52,8 +60,13 @@ for _name, _short in NICKNAMES.items():
     for _s in _short.split():
         FORMAL[_s] = FORMAL.get(_s, frozenset()) | {_name}
 
-#: Words from which a name is linked with names of the same words only.
-MANY_WORDS = 9
+#: More words than names have, fillers aside: beyond, nothing may be left out, so that each word must have its partner.
+TEXT_WORDS = 64
+#: Costs of names that are one stay below `MOST`. No word but an equal one costs less than `LEAST`, so that at most three are not equal.
+MOST, LEAST = 0.7, 0.2
+UNEQUAL = 3
+#: Classes of words by hash: up to three other words on either side leave at least one class as it is.
+CLASSES = 2 * UNEQUAL + 1
 
 _PIECE = re.compile(r"[^\W_]+")
 #: Gaps within names in Chinese, Japanese or Korean characters, which say nothing.
@@ -107,6 +120,11 @@ def deletes(word: str) -> list[str]:
     return [word, *{word[:i] + word[i + 1 :] for i in range(len(word))}] if len(word) > 3 else [word]
 
 
+def forms(word: str) -> list[str]:
+    """As `deletes`, and of words of three letters too, which may stand for one of two letters."""
+    return [word, word[1:], word[0] + word[2], word[:2]] if len(word) == 3 else deletes(word)
+
+
 def near(a: str, b: str) -> bool:
     """Whether at most one letter was added, dropped, changed or swapped with its neighbour."""
     la, lb = len(a), len(b)
@@ -123,8 +141,37 @@ def near(a: str, b: str) -> bool:
 
 
 def within_two(a: str, b: str) -> bool:
-    """Whether some form with one letter left out of the one is near the other, or they are near."""
-    return near(a, b) or abs(len(a) - len(b)) < 3 and any(near(x, y) for x in deletes(a) for y in deletes(b))
+    """Whether some form with one letter left out of the one is near such a form of the other, or they are near; forms as by `deletes`.
+
+    Walks along both at once: whether a letter of either may still be left out and an edit be made is part of the state, so that time follows the length.
+    """
+    la, lb = len(a), len(b)
+    if abs(la - lb) > 2:
+        return False
+    stack = [(0, 0, la > 3, lb > 3, True)]
+    seen = set(stack)
+    while stack:
+        i, j, out_a, out_b, edit = stack.pop()
+        if i == la and j == lb:
+            return True
+        step = []
+        if edit:
+            step += [(i + 1, j, out_a, out_b, False), (i, j + 1, out_a, out_b, False), (i + 1, j + 1, out_a, out_b, False)]
+            for u in (1, 2) if out_a else (1,):  # swapped letters, also with the one left out between them
+                for v in (1, 2) if out_b else (1,):
+                    if i + u < la and j + v < lb and a[i] == b[j + v] and a[i + u] == b[j]:
+                        step.append((i + u + 1, j + v + 1, out_a and u == 1, out_b and v == 1, False))
+        if out_a:
+            step.append((i + 1, j, False, out_b, edit))
+        if out_b:
+            step.append((i, j + 1, out_a, False, edit))
+        if i < la and j < lb and a[i] == b[j]:
+            step.append((i + 1, j + 1, out_a, out_b, edit))
+        for x in step:
+            if x[0] <= la and x[1] <= lb and x not in seen:
+                seen.add(x)
+                stack.append(x)
+    return False
 
 
 @lru_cache(maxsize=200_000)
@@ -165,22 +212,23 @@ def word_cost(a: str, b: str, person: bool) -> float:
     return 0.3 if len(shorter) > 2 and longer.startswith(shorter) or 1 < len(shorter) < len(longer) and near(a, b) else 1.0
 
 
-def least_cost(a: list[str], b: list[str], person: bool) -> tuple[float, int, list[str]]:
-    """Optimal assignment of the words of `a` to those of `b` (as many at least): the highest single cost kept in (total, matched, words of `b` left over)."""
-    costs = [[word_cost(x, y, person) for y in b] for x in a]
-    best: dict[int, tuple[float, int]] = {0: (0.0, 0)}
-    for row in costs:  # over the subsets of `b` that are used; at most 2 ** MANY_WORDS
-        step: dict[int, tuple[float, int]] = {}
-        for used, (cost, matched) in best.items():
-            for j, c in enumerate(row):
-                if used >> j & 1:
-                    continue
-                at, now = used | 1 << j, (cost + c, matched + (c < 1))
-                if at not in step or now[0] < step[at][0]:
-                    step[at] = now
+def least_cost(a: list[str], b: list[str], person: bool) -> tuple[float, list[str]] | None:
+    """Optimal assignment of the words of `a` to those of `b`, none of which is equal: (total, words of `b` left over). None if it costs `MOST` or more."""
+    if len(a) > min(UNEQUAL, len(b)):
+        return None
+    costs = [[(j, c) for j, y in enumerate(b) if (c := word_cost(x, y, person)) < MOST] for x in a]
+    best: dict[frozenset[int], float] = {frozenset(): 0.0}
+    for row in costs:
+        step: dict[frozenset[int], float] = {}
+        for used, cost in best.items():
+            for j, c in row:
+                if j not in used and cost + c < min(MOST, step.get(used | {j}, MOST)):
+                    step[used | {j}] = cost + c
         best = step
-    used, (cost, matched) = min(best.items(), key=lambda x: x[1][0])
-    return cost, matched, [y for j, y in enumerate(b) if not used >> j & 1]
+    if not best:
+        return None
+    used, cost = min(best.items(), key=lambda x: x[1])
+    return cost, [y for j, y in enumerate(b) if j not in used]
 
 
 def aligned(a: "Read", b: "Read") -> bool:
@@ -196,18 +244,27 @@ def aligned(a: "Read", b: "Read") -> bool:
             rest_b.remove(w)
     if a.kind:
         if len(rest_a) < len(rest_b):  # misspelled words that say nothing
-            rest_b = [w for w in rest_b if not any(near(w, f) for f in ("and", "the", "for"))]
+            rest_b = [w for w in rest_b if not any(near(w, f) for f in MISSPELLED)]
         if not rest_a and not rest_b:
             return True
         if len(rest_a) != len(rest_b) and len(a.words) > 1 and rest_a and within_two("".join(rest_a), "".join(rest_b)):  # gaps at other places
             return True
         if len(rest_a) == len(rest_b) > 1 and "".join(rest_a) == "".join(rest_b):
             return True
-        return len(rest_a) == len(rest_b) and least_cost(rest_a, rest_b, False)[0] < 0.7
-    if not rest_a:
-        return _fitting(a.initials, b.initials, rest_b)
-    cost, matched, left = least_cost(rest_a, rest_b, True)
-    return matched == len(rest_a) and cost < 0.7 and _fitting(a.initials, b.initials, left)
+        return len(rest_a) == len(rest_b) and least_cost(rest_a, rest_b, False) is not None
+    got = least_cost(rest_a, rest_b, True)
+    return got is not None and _fitting(a.initials, b.initials, got[1])
+
+
+def alike(a: "Read", b: "Read") -> bool:
+    """Whether two running texts are one: their words but fillers go together at the costs of persons or of organisations, or only their gaps differ."""
+    if a.numbers != b.numbers:
+        return False
+    ca, cb = (Counter(w for w in r.words if w not in FILLERS) for r in (a, b))
+    rest_a, rest_b = list((ca - cb).elements()), list((cb - ca).elements())
+    if len(rest_a) == len(rest_b) and any(least_cost(rest_a, rest_b, person) for person in (False, True)):
+        return True
+    return a.letters == b.letters != ""
 
 
 def _fitting(a: str, b: str, left: list[str]) -> bool:
@@ -226,7 +283,7 @@ def _fitting(a: str, b: str, left: list[str]) -> bool:
 
 
 class Read(NamedTuple):
-    """A name as read. sort: full, person by initials, bare family word, organisation without its field, short (acronym or abbreviated own word); many words."""
+    """A name as read. sort: full, person by initials, bare family word, organisation without its field, short (acronym or abbreviated own word); many (running text)."""
 
     sort: str
     kind: str
@@ -234,11 +291,12 @@ class Read(NamedTuple):
     initials: str = ""
     numbers: tuple[str, ...] = ()
     handles: tuple[str, ...] = ()
+    letters: str = ""  # of all words, where they are enough for running text
 
 
 def is_acronym(name: str) -> bool:
     bare = name.replace(".", "").strip()
-    return 2 < len(bare) < 8 and bare.isalpha() and bare.isupper()
+    return len(bare) > 2 and bare.isalpha() and bare.isupper()
 
 
 def read(name: str) -> Read | None:
@@ -249,8 +307,11 @@ def read(name: str) -> Read | None:
     if not ws:
         return None
     n = tuple(numbers)
-    if len(ws) >= MANY_WORDS:
-        return Read("many", "", tuple(sorted(ws)), numbers=n)
+    letters = "".join(ws)
+    if len(letters) <= TEXT_WORDS:
+        letters = ""
+    if len([w for w in ws if w not in FILLERS]) > TEXT_WORDS:
+        return Read("many", "", tuple(ws), numbers=n, letters=letters)
     kinds = [organisation_word(w) for w in ws]
     at = next((i for i, k in enumerate(kinds) if k), None)
     if at is not None:
@@ -263,33 +324,46 @@ def read(name: str) -> Read | None:
         field = [w for _, w in rest if w != own]
         said = [w for w in ws if w not in (own, ws[at], "the")]
         made = {own[0] + kind[0] + "".join(w[0] for w in said if w not in drop) for drop in ((), ("and",), FILLERS)}
-        return Read("full" if field else "field", kind, tuple(w for _, w in rest), numbers=n, handles=(*sorted(made), f"{own[:4]}.{kind}{''.join(field)}") if field else ())
+        return Read("full" if field else "field", kind, tuple(w for _, w in rest), numbers=n, handles=(*sorted(made), f"{own[:4]}.{kind}{''.join(field)}") if field else (), letters=letters if field else "")
     titled = any(w in TITLES for w in ws)
     long = [w for w in ws if is_word(w) and w not in TITLES and w not in FILLERS]
     initials = "".join(w for w in ws if not is_word(w))
     if len(long) > 1 or long and "ᄀ" <= long[0][0]:
-        return Read("full", "", tuple(long), initials, n)
+        return Read("full", "", tuple(long), initials, n, letters=letters)
     if not long or numbers:
         return None
     return Read("initials", "", tuple(long), initials) if initials else Read("bare", "", tuple(long)) if titled else None
 
 
 def places(r: Read) -> list[tuple[str, str, int]]:
-    """(word, sign, rank): where a name is looked for. Signs: initials of the other words and of the given names they stand for, or the kind."""
+    """(word, sign, rank): where a name is looked for. Signs: initials of the other words and of the given names they stand for, or the kind; with "=" where not words but what is made of several is looked for."""
     if r.sort == "many":
-        return [(" ".join(r.words), "=", 0)]
+        classes: dict[int, list[str]] = defaultdict(list)
+        said = [w for w in r.words if w not in FILLERS]
+        for w in sorted(said):
+            classes[crc32(w.encode()) % CLASSES].append(w)
+        return [(_digest(f"{len(said)} {' '.join(classes[k])}"), f"={k}", 0) for k in range(CLASSES)] + [(_digest(r.letters), "=", 0)]
     if r.sort == "short":
         return []
+    text = [(_digest(r.letters), "=", 0)] if r.letters else []  # met there by running text of which only gaps differ
     if r.kind:
-        return [(w, f"#{r.kind}", 0) for w in dict.fromkeys(r.words)]
+        said = sorted(w[:3] for w in r.words if not any(near(w, f) for f in MISSPELLED))
+        both = [(" ".join(said), f"=#{r.kind}", 0)] if len(said) == 2 else []  # both may be abbreviated
+        return [(w, f"#{r.kind}", 0) for w in dict.fromkeys(r.words)] + both + [("".join(r.words), f"=#{r.kind}", 0), *text]  # and where all gaps differ
     if r.sort == "bare":
         return [(r.words[0], "*", 0)]
     if r.sort == "initials":
         return [(r.words[0], c, k) for k, c in enumerate(r.initials)]
     if len(r.words) == 1:
-        return [(r.words[0], "", 0)]
-    out = {(w, f[0]) for i, w in enumerate(r.words) for j, o in enumerate(r.words) if i != j for f in formal(o)}
-    return [(w, c, 0) for w, c in sorted(out)]
+        return [(r.words[0], "", 0), *text]
+    each = [formal(w) for w in r.words]
+    out = {(g, f[0]) for i, ws in enumerate(each) for j, o in enumerate(each) if i != j for g in ws for f in o}
+    ends = {" ".join(sorted((x[-2:], y[-2:]))) for a, b in combinations(each, 2) for x in a for y in b}  # where all initials are misspelled
+    return [(w, c, 0) for w, c in sorted(out)] + [(e, "=@", 0) for e in ends] + text
+
+
+def _digest(text: str) -> str:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 PIECE = "doc_id string, node_id long, sort string, kind string, words string, initials string, numbers string, word string, sign string, rank int, first boolean"
@@ -301,14 +375,25 @@ def pieces(nodes: DataFrame) -> DataFrame:
     kept = kept.select("doc_id", "node_id", "name").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 7 + [pa.int32(), pa.bool_()]
         for b in batches:
-            at, rows = [], []
+            at, rows, held = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                ids = pa.array(at, pa.int64())  # noqa: B023
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([b.column(0).take(ids).cast(pa.string()), b.column(1).take(ids), *columns], names=["doc_id", "node_id", "sort", "kind", "words", "initials", "numbers", "word", "sign", "rank", "first"])  # noqa: B023
+
             for k, name in enumerate(b.column(2).to_pylist()):
+                if held > 16 << 20:
+                    yield made()
+                    at, rows, held = [], [], 0
                 r = read(name)
                 if r is None:
                     continue
                 head = (r.sort, r.kind, " ".join(r.words), r.initials, " ".join(r.numbers))
                 seen = set()
+                before = len(rows)
                 for w, sign, rank in places(r):
                     rows.append((*head, w, sign, rank, w not in seen))
                     seen.add(w)
@@ -316,11 +401,9 @@ def pieces(nodes: DataFrame) -> DataFrame:
                 for h in r.handles:
                     rows.append(("short" if r.sort == "short" else "handle", "", "", "", head[4], h, "", 0, False))
                     at.append(k)
+                held += (len(rows) - before) * (100 + len(head[2]) + len(head[4]))
             if rows:
-                kinds = [pa.string()] * 7 + [pa.int32(), pa.bool_()]
-                ids = pa.array(at, pa.int64())
-                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(ids).cast(pa.string()), b.column(1).take(ids), *made], names=["doc_id", "node_id", "sort", "kind", "words", "initials", "numbers", "word", "sign", "rank", "first"])
+                yield made()
 
     return kept.mapInArrow(cut, PIECE)
 
@@ -340,13 +423,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
 
 
 def stronger(found: DataFrame) -> DataFrame:
-    """(doc_id, word, to, weight): the words one edit from a word that are in more names of the job (or come first of equal ones).
+    """(doc_id, word, to, weight): the words one edit (of up to three letters: one letter more or less) from a word that are in more names of the job (or come first of equal ones).
 
-    The symmetric-delete index is cut by the ends of words: an edit leaves the first or the last two letters as they are, or of four letters the outer ones.
+    The symmetric-delete index is cut by the ends of words: an edit leaves the first or the last two letters as they are, or of four letters and less the outer ones.
     """
-    counted = found.where("first AND length(word) > 3 AND sign <> '='").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    counted = found.where("first AND length(word) > 1 AND NOT startswith(sign, '=')").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     w = F.col("word")
-    ends = F.array(F.concat(F.lit("<"), F.substring(w, 1, 2)), F.concat(F.lit(">"), F.substring(w, -2, 2)), F.when(F.length(w) == 4, F.concat(F.lit("="), F.substring(w, 1, 1), F.substring(w, -1, 1))))
+    ends = F.array(F.concat(F.lit("<"), F.substring(w, 1, 2)), F.concat(F.lit(">"), F.substring(w, -2, 2)), F.when(F.length(w) <= 4, F.concat(F.lit("="), F.substring(w, 1, 1), F.substring(w, -1, 1))))
     rows = counted.select("doc_id", F.explode(F.array_compact(ends)).alias("end"), "word", "n").repartition("doc_id", "end").sortWithinPartitions("doc_id", "end")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,10 +439,10 @@ def stronger(found: DataFrame) -> DataFrame:
             index: dict[str, list[tuple[str, int]]] = {}
             for _, _, x, n in group:
                 met = set()
-                for d in deletes(x):
+                for d in forms(x):
                     mates = index.setdefault(d, [])
                     for y, m in mates:
-                        if y in met or not near(x, y):
+                        if y in met or len(x) == len(y) < 4 or not near(x, y):
                             continue
                         met.add(y)
                         if end[0] == ">" and x[:2] == y[:2] or end[0] == "=" and (x[:2] == y[:2] or x[-2:] == y[-2:]):
@@ -379,44 +462,84 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def _looked(w: str, kind: str) -> set:
+    """Forms under which a word is looked for among the other words of a place; those of organisations by hash, as forms of all their words joined are long (meeting by chance does no harm)."""
+    return {hash(d) for d in (*forms(w), w[:3])} if kind else {d for f in formal(w) for d in deletes(f)}
+
+
 class Meeting:
     """The names under one word and sign, of which the full ones are joined if they align."""
 
-    def __init__(self, members: list[tuple[int, Read]], word: str = "") -> None:
+    def __init__(self, members: list[tuple[int, Read]], word: str = "", sign: str = "") -> None:
         self.parent: dict[int, int] = {}
-        forms: dict[tuple, int] = {}
+        same: dict[tuple, int] = {}
+        orders: set[tuple] = set()
         full: list[tuple[int, Read]] = []
         for node, r in members:
             self.parent.setdefault(node, node)
             key = (r.kind, tuple(sorted(r.words)), "".join(sorted(r.initials)), r.numbers)
-            if key in forms:  # the same but for order, accents and case
-                self.join(node, forms[key])
-            else:
-                forms[key] = node
+            if key in same:  # the same but for order, accents and case
+                self.join(node, same[key])
+            if key not in same or r.kind and (key, r.words) not in orders:  # gaps are compared in the order of the words
+                same.setdefault(key, node)
+                orders.add((key, r.words))
                 full.append((node, r))
-        if len(full) > 1:
+        if sign == "=":
+            self._join_texts(full)
+        elif full and full[0][1].sort == "many":
+            self._compare(full)
+        elif len(full) > 1:
             self._align(full, word)
 
+    def _join_texts(self, same: list[tuple[int, Read]]) -> None:
+        """Names of the same letters are one if one of them is running text."""
+        first = {r.numbers: node for node, r in same if r.sort == "many"}
+        for node, r in same:
+            if r.numbers in first:
+                self.join(node, first[r.numbers])
+
+    def _compare(self, texts: list[tuple[int, Read]]) -> None:
+        """Running texts that have a class of words in common."""
+        said = [frozenset(r.words) - FILLERS for _, r in texts]
+        for i, j in combinations(range(len(texts)), 2):
+            (x, a), (y, b) = texts[i], texts[j]
+            if len(said[i] ^ said[j]) <= 2 * UNEQUAL and self.find(x) != self.find(y) and alike(a, b):
+                self.join(x, y)
+
     def _align(self, full: list[tuple[int, Read]], word: str) -> None:
-        """An inner index of the other words; each name looks where its least usual word is, among names with as many words or more."""
-        index: dict[str, list[int]] = {}
-        looks: list[list[set[str]]] = []
+        """An inner index of the other words; each name looks where its least usual word is, among names with as many words or more.
+
+        Words like that of the place stand in an index of their own, for another word may be like one of them, too.
+        """
+        index: dict[str | int, list[int]] = defaultdict(list)
+        usual: dict[str, list[int]] = defaultdict(list)
+        looks: list[list[set]] = []
         for k, (_, r) in enumerate(full):
-            others = [w for w in r.words if not (w == word or len(word) > 3 and near(w, word))] or list(r.words)
-            mine = [{d for f in formal(w) for d in deletes(f)} | ({w[:3]} if r.kind and len(w) > 2 else set()) for w in others]
-            if r.kind:
-                mine.append({"".join(others), *deletes("".join(others))} if len(others) > 1 else set())
-            looks.append([m for m in mine if m])
+            others = []
+            for w in r.words:
+                if w == word or len(word) > 3 and near(w, word):
+                    usual[w].append(k)
+                else:
+                    others.append(w)
+            others = others or list(r.words)
+            mine = [_looked(w, r.kind) for w in others]
+            if r.kind and len(others) > 1:
+                mine.append({hash(d) for d in deletes("".join(others))})
+            looks.append(mine)
             for d in set().union(*mine):
-                index.setdefault(d, []).append(k)
+                index[d].append(k)
+        like: dict[str | int, list[str]] = defaultdict(list)
+        for w, at in usual.items():
+            for d in _looked(w, full[at[0]][1].kind):
+                like[d].append(w)
         for k, (node, r) in enumerate(full):
-            sought = looks[k] if r.kind else [min(looks[k], key=lambda m: sum(len(index[d]) for d in m))]
-            tried = set()
-            for j in {j for m in sought for d in m for j in index[d]}:
+            sought = looks[k] if r.kind else [min(looks[k], key=lambda m: sum(len(index.get(d, ())) for d in m))]
+            found_ = {j for m in sought for d in m if d in index for j in index[d]}
+            found_ |= {j for w in {w for m in sought if not like.keys().isdisjoint(m) for d in m for w in like.get(d, ())} for j in usual[w]}
+            for j in found_:
                 other, o = full[j]
-                if j == k or j in tried or len(o.words) < len(r.words) or self.find(node) == self.find(other):
+                if j == k or len(o.words) < len(r.words) or self.find(node) == self.find(other):
                     continue
-                tried.add(j)
                 if aligned(r, o):
                     self.join(node, other)
 
@@ -458,7 +581,7 @@ def meetings(placed: DataFrame) -> DataFrame:
         for group in held():
             doc, g, sign = group[0][:3]
             short = [r for r in group if r[4] in ("initials", "field")]
-            m = Meeting([(r[3], Read(r[4], r[5], tuple(r[6].split(" ")), r[7], tuple(r[8].split(" ")) if r[8] else ())) for r in group if r[4] in ("full", "many")], g)
+            m = Meeting([(r[3], Read(r[4], r[5], tuple(r[6].split(" ")), r[7], tuple(r[8].split(" ")) if r[8] else ())) for r in group if r[4] in ("full", "many")], g, sign)
             out += [("link", x, p, None, None, None, None, None) for x in m.parent if (p := m.find(x)) != x]
             out += [("short", r[3], None, doc, g, sign, r[9], r[10]) for r in short]
             if short:

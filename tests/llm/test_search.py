@@ -230,6 +230,67 @@ def test_very_long_names(spark):
     assert found_in(spark, [long, long.upper(), long + " more"]) == {(long, long.upper())}
 
 
+def test_variants_of_names_of_many_words(spark):
+    pablo = "Pablo Diego Jose Francisco Juan Nepomuceno Crispin Cipriano Santisima Trinidad Ruiz Picasso"
+    animals = "Kelmar Royal Society for the Prevention of Cruelty to Animals and Other Living Creatures"
+    groups = [
+        [pablo, pablo.replace("Nepomuceno", "Nepomuzeno"), pablo.replace("Trinidad ", ""), "Pablo Picasso", "P. Picasso", "Picasso, Pablo Ruiz"],
+        ["Maria Diego Jose Francisco Juan Nepomuceno Crispin Cipriano Santisima Trinidad Ruiz Norvel"],
+        [animals, animals.replace("Society", "Soc."), animals.replace("Cruelty", "Crulety"), animals.replace("Other Living", "OtherLiving"), "KSRPCTAOLC"],
+        [animals.replace("Animals", "Children")],
+    ]
+    of = {n: k for k, g in enumerate(groups) for n in g}
+    flat = [n for g in groups for n in g]
+    assert found_in(spark, flat) == {(a, b) for i, a in enumerate(flat) for b in flat[i + 1 :] if of[a] == of[b]}
+
+
+def test_variants_of_running_text(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(80)]
+
+    def changed(*at):
+        return " ".join(w[:1] + w[2:] if len(w) > 3 and i in at else w for i, w in enumerate(text))
+
+    long = [i for i, w in enumerate(text) if len(w) > 4]
+    one = [" ".join(text), changed(*long[:3]), changed(*long[5:8]), " ".join(text[:9]) + "".join(text[9:30]) + " " + " ".join(text[30:]), " ".join(["the", *text[::-1]])]
+    other = [changed(*long[10:15]), " ".join(text[:-1]), " ".join(["norvelmar", *text])]
+    got = found_in(spark, [*one, *other])
+    assert got == {(a, b) for i, a in enumerate(one) for b in one[i + 1 :]}
+    # all pairs, by definition
+    flat = [changed(*rng.sample(long, rng.randrange(4))) for _ in range(60)]
+    reads = [names.read(n) for n in flat]
+    m = names.Meeting([])
+    m.parent = {i: i for i in range(60)}
+    for i in range(60):
+        for j in range(i):
+            if names.alike(reads[i], reads[j]):
+                m.join(i, j)
+    df = spark.createDataFrame([(i, "d", 1, n, "OTHER", [1], 0) for i, n in enumerate(flat)], NODE)
+    assert {tuple(r) for r in names.found(df).collect()} == {(i, j) for j in range(60) for i in range(j) if m.find(i) == m.find(j)}
+
+
+def test_names_without_a_common_word_or_initial_meet(spark):
+    pairs = [("Bob Jim", "Robert James"), ("Obert Nelvormith", "Robert Melvormith"), ("Dann Quelvor", "Ann Quelvor"), ("Tasmerel Bank of Geology", "Tasme Bank of Geol."), ("Kel Bank of Tea", "Kelm Bank of Teak")]
+    pairs += [("Norvelmar Norvelmar", "Tasmezel Norvelmar Norvelmar"), ("Yarta Night Society of Rope Maker", "Yartanight Society of Ropemaker")]
+    for a, b in pairs:
+        assert names.aligned(names.read(a), names.read(b))
+    assert found_in(spark, [n for p in pairs for n in p]) == set(pairs)
+
+
+def test_within_two_by_definition():
+    rng = random.Random(7)
+    for _ in range(3000):
+        a = [rng.choice("abc") for _ in range(rng.randrange(9))]
+        b = a.copy()
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + 2] = rng.choice([b[i : i + 2][::-1], b[i : i + 1], [rng.choice("abcd"), *b[i : i + 2]], [rng.choice("abcd")]])
+        a, b = "".join(a), "".join(b)
+        want = names.near(a, b) or abs(len(a) - len(b)) < 3 and any(names.near(x, y) for x in names.deletes(a) for y in names.deletes(b))
+        assert names.within_two(a, b) == want
+
+
 def test_words_and_distances():
     assert names.words("Łukasz O. NELRA") == ["lukasz", "o", "nelra"] and names.words("RobertYarta") == ["robert", "yarta"]
     assert names.near("abcd", "abdc") and names.near("abcd", "abd") and not names.near("abcd", "badc")
