@@ -2,6 +2,7 @@
 
 import random
 import unicodedata
+from collections import Counter
 
 import pytest
 
@@ -226,3 +227,49 @@ def test_words_beyond_the_broadcast_count(spark):
     assert whole.rest is None and part.rest is not None and len(part.words) <= 3
     want = {tuple(r) for r in scans.line_kinds(df, whole).collect()}
     assert ("d", 90, 1, "misread") in want and {tuple(r) for r in scans.line_kinds(df, part).collect()} == want
+
+
+def test_words_are_judged_once_and_lines_are_moved_once(spark, monkeypatch):
+    sought = []
+    monkeypatch.setattr(scans, "_TOKEN", type("Counting", (), {"findall": staticmethod(lambda text, real=scans._TOKEN: sought.append(text) or real.findall(text))}))
+    r = scans.Reader(VOCABULARY)
+    page = "The water levels in the\nlower basin"
+    assert r.lines(page, True) == [] and sought
+    sought.clear()
+    assert r.lines(page, True) == [] and not sought
+    monkeypatch.undo()
+    df = spark.createDataFrame([("d", 1, "ocr", page, "done")], "doc_id string, page int, source string, text string, status string")
+    plan = scans.found(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3 and plan.count("levenshtein(key") == 1
+
+
+def test_parts_of_a_text_say_what_the_whole_says(spark):
+    texts = [
+        "ΟΔΟΣ ΟΔΟΣ\nΣ ὈΔΥΣΣΕΎΣ well-known", "ДПУФБЧМСЕФ ВПМШЫПЕ ЮЙУМП", "ДПУФ\nБЧМС", "АБВГ,ДЕЖЗ", "Ã© dcpart-\nment\tl0wer the!!\r\nwatcr", "wide　ｔext watcr\x85rnanner", "語" * 60 + "watcr", "w" * 50 + " " + "è" * 50, "", " \n ", "thе water", "plain é",
+    ]
+    r = scans.Reader(VOCABULARY)
+    for _ in range(2):  # remembered or not
+        for t in texts:
+            assert scans.unclear(t, scans.parts_of(t)) == (mojibake.suspicious(t) or canonical.at_issue(t)), t
+            assert [scans.legible(x) for x in t.split("\n")] == [canonical.plain(y) if canonical.at_issue(y) else y for x in t.split("\n") for y in [mojibake.restore_line(x)[0] if mojibake.suspicious(x) else x]]
+            want = {w for w in scans._TOKEN.findall(t.lower()) if r.written(w.rstrip("!") if w.rstrip("!") in VOCABULARY else w)}
+            at, got = r.misread(scans.parts_of(t))
+            assert got == want and {w for p in at for w in scans._TOKEN.findall(p.lower())} >= want
+    assert r.misread(scans.parts_of(texts[4]))[1] == {"watcr", "l0wer"}
+    df = spark.createDataFrame([("d", i, None, t, "done") for i, t in enumerate(texts * 6)], "doc_id string, page int, source string, text string, status string")
+    c = Counter()
+    for t in texts * 6:
+        for w in scans._WORD.findall(t.lower()) if t.strip() else ():
+            c.update([w, *(w.split("-") if "-" in w else ())])
+    assert scans.vocabulary(df).words == {w: n for w, n in c.items() if n >= scans.LEAST_COUNT}
+
+
+def test_running_lines_of_repeated_pages_and_many_numbers(spark):
+    rows = [("d", p, "ocr", f"Ledger 12/03/1921 p. {p} no {p + 7}\nbody {w} of it\n{w} again and more\na complete {w} on\nthe {w} end com-\nplete {w} watcr\nRiver {'Beard' if p == 3 else 'Board'}", "done") for p, w in enumerate(["one", "two", "three", "four", "five"], 1)]
+    rows += [rows[1], ("e", -70, "ocr", "Head\nx\n-70", "done"), ("e", -71, "text", "Head\ny\n5", "done")]
+    df = spark.createDataFrame(rows, "doc_id string, page int, source string, text string, status string")
+    got = sorted((r["doc_id"], r["page"], r["line_no"]) for r in scans.furniture(df).collect())
+    assert got == sorted([("d", p, i) for p in range(1, 6) for i in (0, 6)] + [("e", -70, 0), ("e", -71, 0)])
+    found = [tuple(r) for r in scans.found(df).collect()]
+    assert len(found) == len(set(found)) and not [x for x in found if x[2] in (0, 6) and x[3] != "furniture"]
+    assert {x[1] for x in found if x[2:] == (4, "hyphen")} == set(range(1, 6))
